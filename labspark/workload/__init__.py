@@ -1,6 +1,6 @@
 """The operators applied to the test tables, each with the SQL that must give the same rows."""
 
-from labspark.workload import metrics, prefixes
+from labspark.workload import hosts, images, logs, manifests, metrics, prefixes, streams
 from labspark.workload.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics", "prefixes"]
+__all__ = ["ORACLES", "QUERIES", "hosts", "images", "logs", "manifests", "metrics", "prefixes", "streams"]
