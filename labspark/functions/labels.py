@@ -15,14 +15,23 @@ def merge_labels(left: Column, right: Column) -> Column:
 
 def tags_to_map(tags: Column, key: str = "key", value: str = "value") -> Column:
     """A tag list as a map; when a key is repeated the last tag wins."""
+    keys = F.transform(tags, lambda tag: tag[key])
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.aggregate(
+    last_wins = F.aggregate(
         tags,
         empty,
         lambda done, tag: F.map_concat(
             F.map_filter(done, lambda k, _: k != tag[key]), F.create_map(tag[key], tag[value])
         ),
     )
+    values = F.transform(tags, lambda tag: tag[value])
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(unique, F.map_from_arrays(keys, values)).when(tags.isNotNull(), last_wins)
+
+
+def tag_value(tags: Column, name: str, key: str = "key", value: str = "value") -> Column:
+    """The value of the last tag with this key, null without one."""
+    return F.try_element_at(F.filter(tags, lambda tag: tag[key] == name), F.lit(-1))[value]
 
 
 def has_any_tag(tags: Column, wanted: Iterable[tuple[str, str]]) -> Column:

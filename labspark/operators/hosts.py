@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.functions.labels import tags_to_map
+from labspark.functions.labels import tag_value, tags_to_map
 from labspark.plans.hotgroups import PART, part_groups
 from labspark.plans.topn import first_n
 
@@ -26,11 +26,10 @@ def flatten_reservations(df: DataFrame, instances: str = "instances") -> DataFra
 
 def tags_to_columns(df: DataFrame, tags: str, wanted: Mapping[str, tuple[str, str | None]]) -> DataFrame:
     """Chosen tags as columns: column name to (tag key, default)."""
-    found = tags_to_map(F.col(tags))
     return df.select(
         "*",
         *[
-            (found[key] if default is None else F.coalesce(found[key], F.lit(default))).alias(column)
+            F.coalesce(tag_value(F.col(tags), key), F.lit(default)).alias(column)
             for column, (key, default) in wanted.items()
         ],
     )

@@ -90,7 +90,7 @@ def split_hot(
     hot_when: Column | None = None,
     levels: int = 3,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of cold groups, and rows of hot groups cut along ``order`` into slices of about ``target_rows`` rows.
+    """Rows of cold groups, and rows of hot groups cut along ``order`` into slices of up to about ``target_rows`` rows.
 
     The hot rows carry ``_slice``, which rises with ``order``; they are None when no group is hot. Cutting is by equal
     width between the group's ends; each further level cuts again the slices that a burst has left too large.
@@ -105,7 +105,8 @@ def split_hot(
         hot = (F.col("_n") > target_rows) & (F.col("_hi") > F.col("_lo"))
         return measured(largest_groups(base, grouping, hot if also is None else hot | also, *ends))
 
-    parts = F.least(F.ceil(F.col("_n") / F.lit(target_rows)), F.lit(MAX_PARTS)).cast("bigint")
+    # Half the target on average, so that uneven slices seldom exceed it and need another pass.
+    parts = F.least(F.ceil(F.col("_n") * 2 / F.lit(target_rows)), F.lit(MAX_PARTS)).cast("bigint")
     offset = (F.col("_pos") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     local = F.coalesce(F.least(F.floor(offset * parts).cast("bigint"), parts - 1), F.lit(0))
 

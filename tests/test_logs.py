@@ -1,0 +1,135 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from labspark.functions.text import clean_message, event_message
+from labspark.operators import logs as L
+from labspark.operators.events import RUN_STATE, route_events
+from labspark.plans import hotgroups as H
+
+ESC = "\x1b"
+
+
+@pytest.mark.parametrize(
+    ("raw", "clean"),
+    [
+        (f"Use {ESC}[32mlab list{ESC}[39m to see versions", "Use lab list to see versions"),
+        ("Line 1\nLine 2\r\nLine 3\rLine 4", "Line 1 Line 2 Line 3 Line 4"),
+        ("Word1    Word2     Word3", "Word1 Word2 Word3"),
+        (f"{ESC}[1;33mYellow Bold{ESC}[0m normal {ESC}[31;1mRed Bold{ESC}[0m", "Yellow Bold normal Red Bold"),
+        ("\t \n padded \n\t", "padded"),
+        ("", ""),
+    ],
+)
+def test_messages_are_cleaned(spark, raw, clean):
+    df = spark.createDataFrame([(raw,)], "message string")
+    row = df.select(clean_message(F.col("message")), event_message(F.lit("error"), F.col("message"))).first()
+    assert tuple(row) == (clean, "ERROR: " + clean)
+
+
+def test_broken_json_is_kept(spark):
+    rows = [('{"level": "Error", "k": 1}',), ("{broken",), ('{"level": "Other"}',)]
+    schema = T.StructType([T.StructField("level", T.StringType()), T.StructField("k", T.IntegerType())])
+    parsed = L.parse_json(spark.createDataFrame(rows, "body string"), schema).collect()
+    assert [(r["parsed"]["level"], r["parsed"]["k"], r["malformed"]) for r in parsed] == [
+        ("Error", 1, False),
+        (None, None, True),
+        ("Other", None, False),
+    ]
+    assert [r["body"] for r in parsed] == [r[0] for r in rows]
+
+
+def test_search_and_adhoc_terms(spark):
+    df = spark.createDataFrame([(1, "clickhouse", "Error"), (2, "clickhouse", "error"), (3, "x", "Error")], "ts int, database string, level string")
+    assert [r["ts"] for r in L.search(df, "ts", database="clickhouse", level="Error").collect()] == [1]
+    assert [r["ts"] for r in L.search(df, "ts").collect()] == [3, 2, 1]
+    assert [r["ts"] for r in L.adhoc_filter(df, [("ts", ">=", 2), ("level", "=~", "^E")]).collect()] == [3]
+    assert L.adhoc_filter(df, [("database", "=", "x' OR 'a'='a")]).count() == 0
+    with pytest.raises(ValueError):
+        L.adhoc_filter(df, [("ts", "LIKE", 1)])
+
+
+def plain_context(text, word, before, after):
+    lines = [line for line in re.split(r"\r?\n", text) if not re.match(r"^\s*#[^:]*$", line)]
+    hits = [word in line.lower() for line in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if any(hits[max(0, i - before) : i + after + 1]) and line.strip():
+            out.append((i + 1, line, hits[i]))
+    return out
+
+
+@pytest.mark.parametrize(("before", "after"), [(5, 5), (0, 0), (1, 3), (4, 0)])
+def test_context_search_against_brute_force(spark, before, after):
+    draw = random.Random(11)
+    words = ["needle: x", "NEEDLE", "hay", "", "  ", "# note", "# key: value", "other"]
+    weights = [1, 1, 12, 2, 1, 2, 1, 12]
+    texts = ["\n".join(draw.choices(words, weights, k=draw.randrange(1, 70))) for _ in range(40)] + ["", "needle", "\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in L.context_search(df, "id", "text", "needle", before, after).collect():
+        got.setdefault(r["id"], []).append((r["line_no"], r["line"], r["is_match"]))
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == plain_context(text, "needle", before, after)
+
+
+def test_context_search_does_not_shuffle(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, text string")
+    plan = L.context_search(df, "id", "text", "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_tail_has_the_last_lines(spark):
+    df = spark.createDataFrame([(f, n) for f in "ab" for n in range(10)], "file string, line_no int")
+    rows = L.tail(df, ["file"], "line_no", 3).collect()
+    assert sorted((r["file"], r["line_no"]) for r in rows) == [(f, n) for f in "ab" for n in (7, 8, 9)]
+
+
+@pytest.mark.parametrize("target_rows", [1_000_000, 70, 5])
+def test_progress_counts_per_run(spark, target_rows):
+    rows = [("long", i * i % 1009 * 1000 + i) for i in range(700)] + [("short", i) for i in range(99)] + [("even", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "run_id string, seq bigint")
+    found = L.progress(df, ["run_id"], ["seq"], target_rows=target_rows).collect()
+    long_run = sorted(s for r, s in rows if r == "long")
+    want = {("long", long_run[n - 1], n) for n in range(100, 701, 100)} | {("even", 99, 100)}
+    assert {(r["run_id"], r["seq"], r["frame_count"]) for r in found} == want
+    assert all(r["message"] == f"Docker container activity: {r['frame_count']} frames processed" for r in found)
+
+
+def test_running_number_keeps_null_groups_and_ties(spark):
+    rows = [(None if i % 3 else "a", 7, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, at int, id int")
+    found = H.running_number(df, ["g"], ["at", "id"], "n", target_rows=4).collect()
+    for group in (None, "a"):
+        mine = sorted(r[2] for r in rows if r[0] == group)
+        assert [r["id"] for r in sorted((r for r in found if r["g"] == group), key=lambda r: r["n"])] == mine
+
+
+def test_service_edges(spark):
+    rows = [("t", 1, None, "web"), ("t", 2, 1, "api"), ("t", 3, 1, "api"), ("t", 4, 2, "db"), ("u", 1, None, "web"), ("u", 9, 8, "lost")]
+    df = spark.createDataFrame(rows, "trace string, span int, parent int, service string")
+    found = {(r["caller"], r["callee"]): r["n_calls"] for r in L.service_edges(df, "trace", "span", "parent", "service").collect()}
+    assert found == {("web", "api"): 2, ("api", "db"): 1}
+
+
+def test_events_are_routed_and_a_close_ends_the_run(spark):
+    rows = [("r", i, "frame", None) for i in range(250)]
+    rows += [("r", 250, "message", "done\n"), ("r", 251, "close", None), ("r", 252, "error", "late"), ("q", 0, "error", "bad")]
+    events = spark.createDataFrame(rows, "run_id string, seq bigint, event_type string, message string")
+    runs = spark.createDataFrame([("r", 60, False), ("old", 5, True)], RUN_STATE)
+    shown, after = route_events(events, runs)
+    assert sorted((r["run_id"], r["seq"], r["event_type"], r["message"]) for r in shown.collect()) == [
+        ("q", 0, "error", "ERROR: bad"),
+        ("r", 39, "message", "Docker container activity: 100 frames processed"),
+        ("r", 139, "message", "Docker container activity: 200 frames processed"),
+        ("r", 239, "message", "Docker container activity: 300 frames processed"),
+        ("r", 250, "message", "done"),
+    ]
+    assert sorted(tuple(r) for r in after.collect()) == [("old", 5, True), ("q", 0, False), ("r", 310, True)]
+    again, _ = route_events(events.where("run_id = 'r'"), after)
+    assert again.count() == 0
