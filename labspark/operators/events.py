@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labspark.functions.text import event_message
 from labspark.operators.logs import FRAMES_PER_MESSAGE, PROGRESS_TEXT
-from labspark.plans.hotgroups import TARGET_ROWS, running_number
+from labspark.plans.hotgroups import TARGET_ROWS, join_unique, running_number
 
 # The kinds of output events.
 FRAME, MESSAGE, ERROR, CLOSE = "frame", "message", "error", "close"
@@ -28,14 +28,15 @@ def route_events(
     the run was closed. Messages and errors pass, cleaned. Of the frames every ``every``-th becomes a progress message.
     What follows a close is dropped.
     """
-    closing = (
-        events.where(F.col("event_type") == CLOSE).groupBy("run_id").agg(F.min("seq").alias("_close"))
+    closing = events.where(F.col("event_type") == CLOSE).select("run_id", F.col("seq").alias("_close"))
+    known = runs.select("run_id", F.col("frame_count").alias("_counted"), F.col("closed").alias("_closed"))
+    limits = (
+        closing.unionByName(known, allowMissingColumns=True)
+        .groupBy("run_id")
+        .agg(F.min("_close").alias("_close"), F.max("_counted").alias("_counted"), F.bool_or("_closed").alias("_closed"))
     )
-    before = runs.select("run_id", F.col("frame_count").alias("_counted"), F.col("closed").alias("_closed"))
-    open_events = (
-        events.join(closing, "run_id", "left")
-        .join(before, "run_id", "left")
-        .where(~F.coalesce("_closed", F.lit(False)) & (F.col("_close").isNull() | (F.col("seq") <= F.col("_close"))))
+    open_events = join_unique(events, limits, ["run_id"], target_rows).where(
+        ~F.coalesce("_closed", F.lit(False)) & (F.col("_close").isNull() | (F.col("seq") <= F.col("_close")))
     )
     frames = open_events.where(F.col("event_type") == FRAME)
     counted = running_number(frames.select("run_id", "seq", "_counted"), ["run_id"], ["seq"], "_number", target_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.functions.labels import tag_value, tags_to_map
-from labspark.plans.hotgroups import PART, part_groups
+from labspark.plans.hotgroups import PART, join_unique, part_groups
 from labspark.plans.topn import first_n
 
 # Server types in lookup order, with the tag text of each.
@@ -47,7 +47,7 @@ def check_required(df: DataFrame, required: Sequence[str], server_type: str, kno
     verdict = (
         F.when(missing, "missing_tags").when(F.col("_known").isNull(), "unknown_type").otherwise("accepted")
     )
-    return df.join(marked, server_type, "left").withColumn("verdict", verdict).drop("_known")
+    return join_unique(df, marked, [server_type]).withColumn("verdict", verdict).drop("_known")
 
 
 def live_state(stored: DataFrame, live: DataFrame, key: str, state: str = "state") -> DataFrame:

@@ -42,11 +42,16 @@ def enrich(df: DataFrame, attributes: Mapping[str, Column | str], host: Column |
     return df.select("*", *added)
 
 
-def search(df: DataFrame, ts: str | None = None, **wanted: object) -> DataFrame:
-    """Lines whose columns equal all wanted values, newest first when ``ts`` is given."""
+def search(df: DataFrame, ts: str | None = None, tie: str | None = None, **wanted: object) -> DataFrame:
+    """Lines whose columns equal all wanted values, newest first when ``ts`` is given.
+
+    ``tie`` orders lines of one time, and lets Spark spread them when very many share it.
+    """
     keep = reduce(lambda a, b: a & b, [F.col(name) == F.lit(value) for name, value in wanted.items()], F.lit(True))
     found = df.where(keep)
-    return found if ts is None else found.orderBy(F.desc(ts))
+    if ts is None:
+        return found
+    return found.orderBy(F.desc(ts), tie) if tie else found.orderBy(F.desc(ts))
 
 
 OPERATORS = {
@@ -112,7 +117,7 @@ def context_search(
 
 def tail(df: DataFrame, keys: Sequence[str], line_no: str, n: int) -> DataFrame:
     """The last ``n`` lines of each file."""
-    return first_n(df, keys, [F.desc(line_no)], n)
+    return first_n(df, keys, [F.desc(line_no)], n, spread=line_no)
 
 
 def progress(

@@ -16,6 +16,7 @@ from labspark.plans.hotgroups import (
     SEED,
     SLICE,
     TARGET_ROWS,
+    join_unique,
     micros,
     seed_with_last,
     seed_with_totals,
@@ -258,5 +259,5 @@ def label_targets(
 ) -> DataFrame:
     """Scrape targets as ``address:port`` with the named label columns attached."""
     place = F.concat_ws(":", F.col(address).cast("string"), port if isinstance(port, Column) else F.lit(str(port)))
-    joined = targets.join(labels, on, "left")
+    joined = join_unique(targets, labels, [on])
     return joined.select(place.alias("target"), *[F.col(source).alias(label) for label, source in names.items()])

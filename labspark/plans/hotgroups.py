@@ -22,6 +22,7 @@ from labspark.session import shared_dir
 
 TARGET_ROWS = 1_000_000
 MAX_HOT_GROUPS = 10_000
+BURST_PARTS = 1024
 MAX_PARTS = 1 << 20  # three levels of slice numbers fit one bigint
 
 SLICE = "_slice"
@@ -105,22 +106,24 @@ def split_hot(
         hot = (F.col("_n") > target_rows) & (F.col("_hi") > F.col("_lo"))
         return measured(largest_groups(base, grouping, hot if also is None else hot | also, *ends))
 
-    # Half the target on average, so that uneven slices seldom exceed it and need another pass.
-    parts = F.least(F.ceil(F.col("_n") * 2 / F.lit(target_rows)), F.lit(MAX_PARTS)).cast("bigint")
-    offset = (F.col("_pos") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    local = F.coalesce(F.least(F.floor(offset * parts).cast("bigint"), parts - 1), F.lit(0))
+    def place(at_least: int) -> Column:
+        # Half the target on average, so that uneven slices seldom exceed it and need another pass.
+        wanted = F.greatest(F.ceil(F.col("_n") * 2 / F.lit(target_rows)), F.lit(at_least))
+        parts = F.least(wanted, F.lit(MAX_PARTS)).cast("bigint")
+        offset = (F.col("_pos") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        return F.coalesce(F.least(F.floor(offset * parts).cast("bigint"), parts - 1), F.lit(0))
 
     groups = measure(placed, keys, hot_when)
     if groups is None:
         return df, None
     cold = _join_hot(df, groups, keys, "left_anti")
-    hot = _join_hot(placed, groups, keys, "inner").select(*names, "_pos", local.alias(SLICE))
+    hot = _join_hot(placed, groups, keys, "inner").select(*names, "_pos", place(1).alias(SLICE))
     for _ in range(levels - 1):
         grouping = [*keys, SLICE]
         slices = measure(hot, grouping)
         if slices is None:
             break
-        finer = F.col(SLICE) * MAX_PARTS + local
+        finer = F.col(SLICE) * MAX_PARTS + place(BURST_PARTS)
         hot = _join_hot(hot, slices, grouping, "left").select(*names, "_pos", finer.alias(SLICE))
     return cold, hot.drop("_pos")
 
@@ -184,3 +187,28 @@ def part_groups(df: DataFrame, keys: Sequence[str], spread: str, max_rows: int)
     parts = F.ceil(F.col("_n") / F.lit(max_rows)).cast("bigint")
     part = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), parts))
     return _join_hot(df, groups, keys, "left").select(*df.columns, part.cast("bigint").alias(PART))
+
+
+def join_unique(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], max_rows: int = TARGET_ROWS, null_safe: bool = False
+) -> DataFrame:
+    """Left join to a table with one row per key, with the rows of hot keys left where they are.
+
+    The right rows of hot keys are at most ``MAX_HOT_GROUPS`` and are broadcast; all other keys are joined as usual, so
+    the right table itself may be of any size. ``null_safe`` lets null keys match.
+    """
+    names = {key: f"_right_{i}" for i, key in enumerate(keys)}
+    table = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+
+    def joined(rows: DataFrame, others: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for key, name in names.items():
+            same = same & (F.col(key).eqNullSafe(F.col(name)) if null_safe else F.col(key) == F.col(name))
+        return rows.join(others, same, "left").drop(*names.values())
+
+    groups = measured(largest_groups(left, keys, F.col("_n") > max_rows))
+    if groups is None:
+        return joined(left, table)
+    few = _join_hot(table, groups.withColumnsRenamed(names), list(names.values()), "left_semi")
+    hot = joined(_join_hot(left, groups, keys, "left_semi"), F.broadcast(few))
+    return hot.unionByName(joined(_join_hot(left, groups, keys, "left_anti"), table))

@@ -8,13 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
+# Spark cuts groups before the shuffle only for ranks up to its own limit, 1000 by default.
+EARLY_CUT = 1000
+SPREAD = 256
+
+
+def first_n(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    n: int,
+    rank: str | None = None,
+    spread: str | None = None,
+) -> DataFrame:
     """The first ``n`` rows of each group.
 
     A rank filter of this form lets Spark cut every map task to ``n`` rows per group before the shuffle, so a hot group
-    sends at most ``n`` rows per task.
+    sends at most ``n`` rows per task. For larger ``n`` the groups are first cut in parts, by a hash of ``spread``.
     """
     name = rank or "_rank"
+    if n > EARLY_CUT and spread:
+        parts = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SPREAD)))
+        within = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = parts.withColumn("_rank", F.row_number().over(within)).where(F.col("_rank") <= n).select(*df.columns)
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = ranked.where(F.col(name) <= n)
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
@@ -22,7 +38,7 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
 
 def newest_n(df: DataFrame, keys: Sequence[str], at: str, tie: str, n: int) -> DataFrame:
     """The newest ``n`` rows per group; equal times are taken in rising ``tie``."""
-    return first_n(df, keys, [F.desc(at), F.asc(tie)], n)
+    return first_n(df, keys, [F.desc(at), F.asc(tie)], n, spread=tie)
 
 
 def mark_beyond_n(df: DataFrame, keys: Sequence[str], at: str, tie: str, n: int, flag: str) -> DataFrame:
@@ -34,7 +50,7 @@ def mark_beyond_n(df: DataFrame, keys: Sequence[str], at: str, tie: str, n: int,
     """
     if n <= 0:
         return df.withColumn(flag, F.lit(True))
-    kept = first_n(df.select(*keys, at, tie), keys, [F.desc(at), F.asc(tie)], n, rank="_rank")
+    kept = first_n(df.select(*keys, at, tie), keys, [F.desc(at), F.asc(tie)], n, rank="_rank", spread=tie)
     cuts = (
         kept.groupBy(*keys)
         .agg(F.max_by(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")), "_rank").alias("_cut"))

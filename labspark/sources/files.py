@@ -77,4 +77,4 @@ def step_logs(spark: SparkSession, folder: str, layout: str = STEP_LOG) -> DataF
 
 def step_log_tail(logs: DataFrame, n: int = 100, log: str = "stderr") -> DataFrame:
     """The last ``n`` lines of each step's log."""
-    return first_n(logs.where(F.col("log") == log), ["cluster_id", "step_id", "log"], [F.desc("line_order")], n)
+    return first_n(logs.where(F.col("log") == log), ["cluster_id", "step_id", "log"], [F.desc("line_order")], n, spread="line_order")

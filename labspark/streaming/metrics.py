@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from labspark.operators.metrics import RATE_ROWS, counter_increase, step_start
+from labspark.plans.hotgroups import join_unique
 from labspark.plans.topn import first_n
 from labspark.streaming.batches import Carried, run, store_batch
 
@@ -77,11 +78,8 @@ def counter_batch(
     ``last`` holds the last sample per series from before. Samples that are not newer than it are late and dropped.
     """
     columns = [*series, ts, value, tie]
-    known = last.select(*[F.col(k).alias(f"_last_{i}") for i, k in enumerate(series)], F.col(ts).alias("_last_ts"))
-    same = F.lit(True)
-    for i, key in enumerate(series):
-        same = same & F.col(key).eqNullSafe(F.col(f"_last_{i}"))
-    fresh = batch.select(*columns).join(known, same, "left")
+    known = last.select(*series, F.col(ts).alias("_last_ts"))
+    fresh = join_unique(batch.select(*columns), known, series, target_rows, null_safe=True)
     fresh = fresh.where(F.col("_last_ts").isNull() | (F.col(ts) > F.col("_last_ts"))).select(*columns)
     both = fresh.withColumn("_old", F.lit(False)).unionByName(last.select(*columns).withColumn("_old", F.lit(True)))
     grown = counter_increase(both, series, ts, value, tie, target_rows)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +112,7 @@ def table_defaults(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 2 != 0, F.col("o_orderdate")).alias("updated_at"),
         F.when(F.col("o_orderkey") % 4 == 1, F.lit("2020-02-02").cast("date")).alias("updated_at_date"),
     )
-    now = F.lit(datetime(2024, 5, 6, 7, 8, 9)).cast("timestamp_ntz")
+    now = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")
     return tables.fill_defaults(rows, {"updated_at": now, "updated_at_date": F.to_date("updated_at")})
 
 

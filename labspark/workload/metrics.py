@@ -39,14 +39,15 @@ FROM ({INCREASES})"""
 
 @query(
     "metric_select",
-    """SELECT event_id AS sample_id, ts, value, user_id AS host FROM events
-       WHERE event_type = 'error' AND user_id % 3 = 1""",
+    "SELECT event_id AS sample_id, ts, value, user_id::varchar AS host_name FROM events WHERE event_type = 'error'",
 )
 def metric_select(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = samples(spark, sf).withColumn(
-        "labels", F.create_map(F.lit("state"), F.when(F.col("host") % 3 == 1, "idle").otherwise("busy"))
+    labels = F.create_map(F.lit("state"), F.col("event_type"), F.lit("host_name"), F.col("user_id").cast("string"))
+    labelled = table(spark, sf, "events").select(
+        F.lit("events_total").alias("metric"), labels.alias("labels"), F.col("event_id").alias("sample_id"), "ts", "value"
     )
-    return M.select_metric(labelled, "error", state="idle").select("sample_id", "ts", "value", "host")
+    found = M.promote_labels(M.select_metric(labelled, "events_total", state="error"), ["host_name"])
+    return found.select("sample_id", "ts", "value", "host_name")
 
 
 @query(
