@@ -52,8 +52,8 @@ def overlay_paths(base: DataFrame, patch: DataFrame, path: str = "path", value:
         upper = F.explode(F.transform(ups, lambda n: F.array_join(F.slice(F.split(path, "\\."), 1, n), ".")))
         return df.select(F.col(path), upper.alias("_above"))
 
-    patched = patch.select(F.col(path).alias("_above")).distinct()
-    covered = above(base).join(patched, "_above", "left_semi").select(path).distinct()
-    opened = above(patch).select(F.col("_above").alias(path)).distinct()
-    kept = base.join(covered, path, "left_anti").join(opened, path, "left_anti")
-    return overlay(kept, patch, [path], value)
+    patched = patch.select(F.col(path).alias("_above"))
+    covered = above(base).join(patched, "_above", "left_semi").select(path)
+    opened = above(patch).select(F.col("_above").alias(path))
+    replaced = covered.unionByName(opened).distinct()
+    return overlay(base.join(replaced, path, "left_anti"), patch, [path], value)

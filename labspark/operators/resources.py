@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labspark.plans.hotgroups import PART, part_groups
+
 # Texts for well-known ports.
 PORT_TEXTS = {
     22: "SSH",
@@ -24,6 +26,7 @@ PORT_TEXTS = {
     9160: "Cassandra Thrift",
 }
 ROUTE_TABLE = "route_table"
+IDS_PER_ROW = 10_000
 RULE = ["from_port", "to_port", "protocol", "cidr"]
 
 
@@ -95,6 +98,23 @@ def missing_rules(wanted: DataFrame, existing: DataFrame, columns: Sequence[str]
     return wanted.join(present, same, "left_anti")
 
 
+def infrastructure(resources: DataFrame, max_rows: int = IDS_PER_ROW) -> DataFrame:
+    """Per network its subnets as a list, and the first security group and internet gateway.
+
+    A network with more than ``max_rows`` resources gives several rows, told apart by ``part``.
+    """
+
+    def of(kind: str) -> Column:
+        return F.when(F.col("resource_type") == kind, F.col("resource_id"))
+
+    parts = part_groups(resources, ["vpc_id"], "resource_id", max_rows)
+    return parts.groupBy("vpc_id", PART).agg(
+        F.sort_array(F.collect_list(of("subnet"))).alias("subnet_ids"),
+        F.min(of("security_group")).alias("security_group_id"),
+        F.min(of("internet_gateway")).alias("internet_gateway_id"),
+    )
+
+
 def without_default(df: DataFrame, name: str, include_default: bool = False, default: str = "default") -> DataFrame:
     """Leave out the row of the default group, unless asked for; rows without a name stay."""
     return df if include_default else df.where(~F.col(name).eqNullSafe(default))

@@ -15,13 +15,15 @@ def scan(spark: SparkSession, source: str, path: str | None = None, **options: s
     return spark.read.format(source).options(**options).load(path)
 
 
-def reload(df: DataFrame, path: str, source: str = "parquet") -> DataFrame:
+def reload(df: DataFrame, path: str | None, source: str = "parquet", **options: str) -> DataFrame:
     """Replace what the table holds with these rows, then read the stored rows back.
 
-    Whoever counts or reuses the result reads the stored rows and does not run the query again.
+    Whoever counts or reuses the result reads the stored rows and does not run the query again. Files are read with the
+    schema just written, other connectors with the one they report.
     """
-    df.write.format(source).mode("overwrite").save(path)
-    return df.sparkSession.read.format(source).schema(df.schema).load(path)
+    df.write.format(source).options(**options).mode("overwrite").save(path)
+    reader = df.sparkSession.read.format(source).options(**options)
+    return reader.schema(df.schema).load(path) if path else reader.load()
 
 
 def fill_defaults(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:

@@ -213,3 +213,13 @@ def test_exclusions_and_first_tagged(spark):
     assert R.without_default(df, "name", include_default=True).count() == 3
     named = spark.createDataFrame([("lab-b", True), ("lab-a", False), ("lab-c", True), ("x", True)], "name string, ok boolean")
     assert R.first_with_tag(named, "name", "lab-", F.col("ok")).first()["name"] == "lab-b"
+
+
+@pytest.mark.parametrize("max_rows", [10_000, 2])
+def test_infrastructure_of_a_network(spark, max_rows):
+    rows = [("v", "subnet", f"s{i}") for i in range(9)] + [("v", "security_group", "g2"), ("v", "security_group", "g1")]
+    df = spark.createDataFrame(rows, "vpc_id string, resource_type string, resource_id string")
+    found = R.infrastructure(df, max_rows).collect()
+    assert sorted(s for r in found for s in r["subnet_ids"]) == [f"s{i}" for i in range(9)]
+    assert min(r["security_group_id"] for r in found if r["security_group_id"]) == "g1"
+    assert {r["internet_gateway_id"] for r in found} == {None}
