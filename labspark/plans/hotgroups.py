@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labspark.session import shared_dir
+from labspark.session import scratch_path, shared_dir
 
 TARGET_ROWS = 1_000_000
 MAX_HOT_GROUPS = 10_000
@@ -71,6 +71,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back, so that plans know how large they are."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join the bounded hot-group table, treating null keys as equal."""
     renamed = hot.select(

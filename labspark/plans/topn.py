@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labspark.plans.hotgroups import sized
+
 
 # Spark cuts groups before the shuffle only for ranks up to its own limit, 1000 by default.
 EARLY_CUT = 1000
@@ -45,8 +47,8 @@ def mark_beyond_n(df: DataFrame, keys: Sequence[str], at: str, tie: str, n: int,
     """Add a boolean ``flag`` that is true for rows beyond the newest ``n`` of their group.
 
     Only the n-th row of each group is computed; it is joined back and compared, so no group is sorted in one task. The
-    cut table has one row per group. Its join carries no hint: Spark broadcasts it when its measured size allows and
-    splits hot groups of the large side otherwise.
+    cut table has one row per group. It is stored first, so that Spark knows its true size before it plans the join:
+    small enough, it is broadcast and the large side is not shuffled at all; else hot groups are split by Spark.
     """
     if n <= 0:
         return df.withColumn(flag, F.lit(True))
@@ -56,6 +58,7 @@ def mark_beyond_n(df: DataFrame, keys: Sequence[str], at: str, tie: str, n: int,
         .agg(F.max_by(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")), "_rank").alias("_cut"))
         .select(*[F.col(k).alias(f"_cut_{i}") for i, k in enumerate(keys)], "_cut")
     )
+    cuts = sized(cuts)
     condition = F.lit(True)
     for i, key in enumerate(keys):
         condition = condition & df[key].eqNullSafe(cuts[f"_cut_{i}"])

@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.files.ignoreMissingFiles": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 _local_dirs: dict[str, str] = {}

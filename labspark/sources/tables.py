@@ -43,10 +43,14 @@ def write_daily_index(df: DataFrame, path: str, ts: str = "ts", prefix: str = "l
     indexed.hint("rebalance", "index").write.partitionBy("index").mode("append").parquet(path)
 
 
-def read_daily_index(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
-    """The stored rows, of one index when named; other folders are not read."""
+def read_daily_index(
+    spark: SparkSession, path: str, index: str | None = None, since: str | None = None
+) -> DataFrame:
+    """The stored rows, of one index or of all from ``since`` on; other folders are not read."""
     rows = spark.read.parquet(path)
-    return rows if index is None else rows.where(F.col("index") == index)
+    if index is not None:
+        rows = rows.where(F.col("index") == index)
+    return rows if since is None else rows.where(F.col("index") >= since)
 
 
 def put_documents(stored: DataFrame, new: DataFrame, key: Sequence[str], at: str, tie: str) -> DataFrame:

@@ -15,6 +15,8 @@ from labspark.functions.status import (
 from labspark.operators import hosts as H
 from labspark.operators import images as I
 from labspark.operators import resources as R
+from labspark.plans.hotgroups import join_unique
+from labspark.sources import state
 from labspark.workload.registry import query, table
 
 
@@ -321,6 +323,88 @@ def missing_rules_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     return R.missing_rules(wanted, R.flatten_rules(permissions))
 
 
+@query(
+    "rule_labels",
+    """SELECT l_orderkey, l_linenumber, cidr, from_port, to_port, protocol_text, description FROM (
+         SELECT l_orderkey, l_linenumber, from_port, to_port,
+                CASE WHEN l_returnflag = 'N' THEN 'All' ELSE 'TCP' END AS protocol_text,
+                coalesce(CASE WHEN l_linestatus = 'O' THEN l_shipdate::date::varchar END,
+                  CASE WHEN from_port IS NULL OR to_port IS NULL THEN 'All traffic' WHEN from_port <> to_port THEN NULL
+                       WHEN from_port = 22 THEN 'SSH' WHEN from_port = 80 THEN 'HTTP' WHEN from_port = 9042 THEN 'Cassandra CQL'
+                       END) AS description,
+                unnest([l_linestatus, CASE WHEN l_quantity > 30 THEN l_returnflag END]) AS cidr
+         FROM (SELECT *, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE [22, 80, 9042, 1234][l_linenumber % 4 + 1] END AS from_port,
+                      [22, 80, 9042, 1234][l_linenumber % 4 + 1] + (l_partkey % 2)::int AS to_port FROM lineitem))
+       WHERE cidr IS NOT NULL""",
+)
+def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
+    ports = F.array(F.lit(22), F.lit(80), F.lit(9042), F.lit(1234))
+    port = F.get(ports, F.col("l_linenumber") % 4)
+    no_text = F.lit(None).cast("string")
+    first_text = F.when(F.col("l_linestatus") == "O", F.col("l_shipdate").cast("date").cast("string"))
+    permissions = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_suppkey") % 4 != 0, port).alias("from_port"),
+        (port + (F.col("l_partkey") % 2).cast("int")).alias("to_port"),
+        F.when(F.col("l_returnflag") == "N", "-1").otherwise("tcp").alias("protocol"),
+        F.array(
+            F.struct(F.col("l_linestatus").alias("cidr"), first_text.alias("description")),
+            F.struct(F.when(F.col("l_quantity") > 30, F.col("l_returnflag")).alias("cidr"), no_text.alias("description")),
+        ).alias("ranges"),
+    )
+    return R.flatten_rules(permissions).drop("protocol")
+
+
+@query(
+    "network_infrastructure",
+    """SELECT n_nationkey::varchar AS vpc_id, 0::bigint AS part,
+              coalesce((SELECT string_agg(s_suppkey::varchar, ',' ORDER BY s_suppkey::varchar) FROM supplier
+                        WHERE s_nationkey = n_nationkey), '') AS subnet_ids,
+              (SELECT min(c_custkey::varchar) FROM customer WHERE c_nationkey = n_nationkey) AS security_group_id,
+              n_name AS internet_gateway_id FROM nation""",
+)
+def network_infrastructure(spark: SparkSession, sf: str) -> DataFrame:
+    resources = R.inventory(
+        {
+            "subnet": (table(spark, sf, "supplier"), "s_nationkey", "s_suppkey"),
+            "security_group": (table(spark, sf, "customer"), "c_nationkey", "c_custkey"),
+            "internet_gateway": (table(spark, sf, "nation"), "n_nationkey", "n_name"),
+        }
+    )
+    parts = R.infrastructure(resources)
+    return parts.withColumn("subnet_ids", F.array_join("subnet_ids", ","))
+
+
+@query(
+    "state_hosts",
+    f"""SELECT cluster_id::varchar AS cluster_id, server_type, alias, instance_id::varchar AS "instanceId",
+               CASE WHEN cluster_id % 2 = 0 THEN cluster_id::int ELSE 3 END AS wanted, 'r3.2xlarge' AS instance_type
+        FROM {HOSTS}""",
+)
+def state_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """State documents as stored text, some without all set-up options, read back leniently."""
+    named = hosts(spark, sf).withColumn("instanceId", F.col("instance_id").cast("string"))
+    documents = H.state_documents(named, "cluster_id", "server_type", ["alias", "instanceId"])
+    options = F.struct(F.when(F.col("cluster_id") % 2 == 0, F.col("cluster_id")).alias("cassandraInstances"))
+    body = F.to_json(
+        F.struct(
+            F.col("cluster_id").cast("string").alias("clusterId"),
+            "hosts",
+            options.alias("initConfig"),
+            F.struct(F.lit(1).alias("x")).alias("unknownField"),
+        )
+    )
+    states = state.parse_state(documents.select(body.alias("body")))
+    options = states.select(
+        F.col("clusterId").alias("cluster_id"),
+        F.col("initConfig.cassandraInstances").alias("wanted"),
+        F.col("initConfig.instanceType").alias("instance_type"),
+    ).distinct()
+    rows = state.state_hosts(states).select("cluster_id", "server_type", "alias", "instanceId")
+    return join_unique(rows, options, ["cluster_id"])
+
+
 def tagged_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Each line with tags made of its own columns; ``flag`` appears twice."""
 

@@ -182,12 +182,8 @@ def log_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "step_log_scan",
-    """SELECT (conv_id % 100)::varchar AS step_id, CASE role WHEN 'user' THEN 'stdout' ELSE 'stderr' END AS log, count(*) AS n_lines
-       FROM (SELECT conv_id, role, unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY 1, 2""",
-)
-def step_log_scan(spark: SparkSession, sf: str) -> DataFrame:
+def step_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation texts written as gzipped step logs and read back."""
     folder = scratch_path(spark, "step-logs")
     turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") % 100).alias("step"),
@@ -195,5 +191,25 @@ def step_log_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("value"),
     )
     turns.hint("rebalance", "step", "log").write.partitionBy("step", "log").option("compression", "gzip").text(folder)
-    logs = files.step_logs(spark, folder, r"([^/]+)/step=([^/]+)/log=(stdout|stderr)/part-[^/]*\.gz$")
-    return logs.groupBy("step_id", "log").agg(F.count(F.lit(1)).alias("n_lines"))
+    return files.step_logs(spark, folder, r"([^/]+)/step=([^/]+)/log=(stdout|stderr)/part-[^/]*\.gz$")
+
+
+@query(
+    "step_log_tail",
+    """SELECT step_id, least(n_lines, 10) AS n_lines FROM (
+         SELECT (conv_id % 100)::varchar AS step_id, count(*) AS n_lines
+         FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE role <> 'user')
+         GROUP BY 1)""",
+)
+def step_log_tail(spark: SparkSession, sf: str) -> DataFrame:
+    last = files.step_log_tail(step_logs(spark, sf), 10)
+    return last.groupBy("step_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(
+    "step_log_scan",
+    """SELECT (conv_id % 100)::varchar AS step_id, CASE role WHEN 'user' THEN 'stdout' ELSE 'stderr' END AS log, count(*) AS n_lines
+       FROM (SELECT conv_id, role, unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY 1, 2""",
+)
+def step_log_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return step_logs(spark, sf).groupBy("step_id", "log").agg(F.count(F.lit(1)).alias("n_lines"))

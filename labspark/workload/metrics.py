@@ -84,22 +84,22 @@ def counter_increase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "counter_rate",
-    f"SELECT sample_id, metric, host, ts, round(rate, 6) AS rate FROM ({RATES})",
+    f"SELECT sample_id, metric, host, ts, round(rate, 9) AS rate FROM ({RATES})",
 )
 def counter_rate(spark: SparkSession, sf: str) -> DataFrame:
     rates = M.counter_rate(samples(spark, sf), SERIES, DAY, tie="sample_id")
-    return rates.select("sample_id", "metric", "host", "ts", F.round("rate", 6).alias("rate"))
+    return rates.select("sample_id", "metric", "host", "ts", F.round("rate", 9).alias("rate"))
 
 
 @query(
     "cpu_busy_pct",
-    f"""SELECT date_trunc('day', ts)::timestamp AS step, host, round(100.0 - avg(rate) * 100.0, 6) AS busy_pct
+    f"""SELECT date_trunc('day', ts)::timestamp AS step, host, round(100.0 - avg(rate) * 100.0, 9) AS busy_pct
         FROM ({RATES}) WHERE metric IN ('view', 'click') GROUP BY 1, 2""",
 )
 def cpu_busy_pct(spark: SparkSession, sf: str) -> DataFrame:
     idle = samples(spark, sf).where(F.col("metric").isin("view", "click"))
     busy = M.busy_percent(idle, "host", SERIES, DAY, DAY, tie="sample_id")
-    return busy.select("step", "host", F.round("busy_pct", 6).alias("busy_pct"))
+    return busy.select("step", "host", F.round("busy_pct", 9).alias("busy_pct"))
 
 
 @query(
@@ -113,23 +113,23 @@ def gauge_last_per_step(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "series_mean_max",
-    f"""SELECT metric, host, round(avg(value), 6) AS mean, max(value) AS "max" FROM ({SAMPLES}) GROUP BY 1, 2""",
+    f"""SELECT metric, host, round(avg(value), 9) AS mean, max(value) AS "max" FROM ({SAMPLES}) GROUP BY 1, 2""",
 )
 def series_mean_max(spark: SparkSession, sf: str) -> DataFrame:
     stats = M.series_mean_max(samples(spark, sf), SERIES)
-    return stats.select("metric", "host", F.round("mean", 6).alias("mean"), "max")
+    return stats.select("metric", "host", F.round("mean", 9).alias("mean"), "max")
 
 
 @query(
     "multi_target_panel",
     f"""SELECT sample_id, ts, host || ' ' || CASE metric WHEN 'click' THEN 'read' ELSE 'write' END AS legend,
-               round(rate, 6) AS rate
+               round(rate, 9) AS rate
         FROM ({RATES}) WHERE metric IN ('click', 'purchase')""",
 )
 def multi_target_panel(spark: SparkSession, sf: str) -> DataFrame:
     panel = M.panel_targets(samples(spark, sf), {"click": "read", "purchase": "write"}, "host")
     rates = M.counter_rate(panel, SERIES, DAY, tie="sample_id")
-    return rates.select("sample_id", "ts", "legend", F.round("rate", 6).alias("rate"))
+    return rates.select("sample_id", "ts", "legend", F.round("rate", 9).alias("rate"))
 
 
 @query(

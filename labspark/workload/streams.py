@@ -68,7 +68,7 @@ def stream_gauge_step(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_counter_rate",
-    f"""SELECT metric, host, date_trunc('day', ts)::timestamp AS step, round(sum(increase) / 86400.0, 6) AS rate
+    f"""SELECT metric, host, date_trunc('day', ts)::timestamp AS step, round(sum(increase) / 86400.0, 9) AS rate
         FROM ({INCREASES}) GROUP BY 1, 2, 3""",
 )
 def stream_counter_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,7 @@ def stream_counter_rate(spark: SparkSession, sf: str) -> DataFrame:
     run.awaitTermination()
     schema = T.StructType([*SAMPLE_SCHEMA.fields, T.StructField("increase", T.DoubleType())])
     rates = SM.step_rates(stored(spark, f"{base}/out", schema), SERIES, DAY)
-    return rates.select(*SERIES, "step", F.round("rate", 6).alias("rate"))
+    return rates.select(*SERIES, "step", F.round("rate", 9).alias("rate"))
 
 
 @query(

@@ -147,3 +147,31 @@ def test_fan_out(spark, tmp_path):
     sinks = {"all": (F.lit(True), str(tmp_path / "all")), "high": (F.col("value") > 6, str(tmp_path / "high"))}
     SL.run_fan_out(stream, sinks, str(tmp_path / "checkpoint")).awaitTermination()
     assert [stored(spark, path, stream.schema).count() for _, path in sinks.values()] == [10, 3]
+
+
+def test_a_stream_that_dies_after_writing_goes_on_without_doubles(spark, tmp_path, monkeypatch):
+    source, out, state, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state", "checkpoint"))
+    schema = T.StructType.fromDDL(SCHEMA)
+    rows = [sample(i, "a", i * 10, (i * 37) % 50) for i in range(30)]
+    real = SM.Carried.after
+
+    def run():
+        stream = SM.sample_stream(spark, source, schema)
+        SM.run_counter_increase(stream, SERIES, out, state, checkpoint).awaitTermination()
+
+    def dies(self, df, batch_id):
+        real(self, df, batch_id)
+        raise RuntimeError("executor gone")
+
+    put(spark, rows[:10], source)
+    run()
+    put(spark, rows[10:], source)
+    monkeypatch.setattr(SM.Carried, "after", dies)
+    with pytest.raises(Exception, match="executor gone"):
+        run()
+    monkeypatch.setattr(SM.Carried, "after", real)
+    run()
+    full = T.StructType([*schema.fields, T.StructField("increase", T.DoubleType())])
+    got = [(r["sample_id"], r["increase"]) for r in stored(spark, out, full).collect()]
+    want = M.counter_increase(spark.createDataFrame(rows, SCHEMA), SERIES, tie="sample_id").collect()
+    assert sorted(got) == sorted((r["sample_id"], r["increase"]) for r in want)
