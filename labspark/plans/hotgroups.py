@@ -86,7 +86,7 @@ def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> D
     )
     condition = F.lit(True)
     for i, key in enumerate(keys):
-        condition = condition & df[key].eqNullSafe(renamed[f"_hot_{i}"])
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_hot_{i}"))
     return df.join(F.broadcast(renamed), condition, how)
 
 

@@ -61,7 +61,7 @@ def mark_beyond_n(df: DataFrame, keys: Sequence[str], at: str, tie: str, n: int,
     cuts = sized(cuts)
     condition = F.lit(True)
     for i, key in enumerate(keys):
-        condition = condition & df[key].eqNullSafe(cuts[f"_cut_{i}"])
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_cut_{i}"))
     later_tie = F.col(tie) > F.col("_cut.tie")
     beyond = (
         F.when(F.col(at).isNull(), F.col("_cut.at").isNotNull() | later_tie)

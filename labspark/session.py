@@ -20,13 +20,25 @@ DEFAULTS = {
 _local_dirs: dict[str, str] = {}
 
 
-def session(app: str = "labspark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the defaults above; keyword names use ``__`` for dots."""
+SHUFFLE_PARTITION_BYTES = 128 << 20
+
+
+def session(
+    app: str = "labspark", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the defaults above; keyword names use ``__`` for dots.
+
+    ``shuffle_bytes``, the size of the largest shuffle to expect, sets the number of shuffle partitions so that one fits
+    well into a task's memory. Spark joins partitions that turn out small.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
+    if shuffle_bytes is not None:
+        partitions = max(200, -(-shuffle_bytes // SHUFFLE_PARTITION_BYTES))
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

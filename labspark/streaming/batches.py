@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,20 @@ def run(stream: DataFrame, on_batch: BatchFunction, checkpoint: str, every: str
     return writer.trigger(**trigger).start()
 
 
+def append(
+    stream: DataFrame, path: str, checkpoint: str, every: str | None = None, partition_by: Sequence[str] = ()
+) -> StreamingQuery:
+    """Store the rows as they are with Spark's own file sink, which keeps a log of the finished batches."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.partitionBy(*partition_by).trigger(**trigger).start()
+
+
+def appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of finished batches."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def store_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write the rows of one batch to its own folder; a batch that is run again replaces its rows."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

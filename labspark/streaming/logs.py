@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from labspark.operators.logs import enrich, parse_json
-from labspark.streaming.batches import run, store_batch
+from labspark.streaming.batches import append, run, store_batch
 
 BATCH_INTERVAL = "10 seconds"
 
@@ -21,8 +21,15 @@ def log_records(
     return enrich(parse_json(lines, schema), attributes, host)
 
 
-def run_logs(records: DataFrame, out: str, checkpoint: str, every: str | None = BATCH_INTERVAL) -> StreamingQuery:
-    return run(records, lambda batch, batch_id: store_batch(batch, out, batch_id), checkpoint, every)
+def run_logs(
+    records: DataFrame,
+    out: str,
+    checkpoint: str,
+    every: str | None = BATCH_INTERVAL,
+    partition_by: Sequence[str] = (),
+) -> StreamingQuery:
+    """Store the records; ``partition_by`` can name the column of the daily index."""
+    return append(records, out, checkpoint, every, partition_by)
 
 
 def run_fan_out(

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labspark.operators.metrics import RATE_ROWS, counter_increase, step_start
 from labspark.plans.hotgroups import join_unique
 from labspark.plans.topn import first_n
-from labspark.streaming.batches import Carried, run, store_batch
+from labspark.streaming.batches import Carried, append, run, store_batch
 
 
 def sample_stream(
@@ -26,7 +26,7 @@ def sample_stream(
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Store the samples as they are."""
-    return run(stream, lambda batch, batch_id: store_batch(batch, out, batch_id), checkpoint, every)
+    return append(stream, out, checkpoint, every)
 
 
 def gauge_steps(

@@ -13,7 +13,7 @@ from labspark.sources import files
 from labspark.streaming import events as SE
 from labspark.streaming import logs as SL
 from labspark.streaming import metrics as SM
-from labspark.streaming.batches import newest_update, stored
+from labspark.streaming.batches import appended, newest_update, stored
 from labspark.workload.logs import BODY, PARSED, log_records
 from labspark.workload.metrics import INCREASES, SAMPLES, SERIES
 from labspark.workload.registry import query, table
@@ -49,7 +49,7 @@ def sample_stream(spark: SparkSession, sf: str) -> DataFrame:
 def metric_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "ingest")
     SM.ingest(sample_stream(spark, sf), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return stored(spark, f"{base}/out", SAMPLE_SCHEMA).drop("batch")
+    return appended(spark, f"{base}/out", SAMPLE_SCHEMA)
 
 
 @query(
@@ -126,7 +126,7 @@ def stream_logs(spark: SparkSession, sf: str) -> DataFrame:
     )
     records = SL.log_records(raw, BODY, {"database": "clickhouse"})
     SL.run_logs(records, f"{base}/out", f"{base}/checkpoint", every=None).awaitTermination()
-    return stored(spark, f"{base}/out", records.schema).select(
+    return appended(spark, f"{base}/out", records.schema).select(
         "event_id", "component", "database", "malformed", "parsed.k"
     )
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labspark.operators import metrics as M
+from labspark.operators.logs import daily_index
 from labspark.sources import files
+from labspark.sources.tables import read_daily_index
 from labspark.streaming import events as SE
 from labspark.streaming import logs as SL
 from labspark.streaming import metrics as SM
-from labspark.streaming.batches import newest_update, store_batch, stored
+from labspark.streaming.batches import appended, newest_update, store_batch, stored
 
 START = datetime(2024, 1, 1)
 SCHEMA = "metric string, host string, sample_id bigint, ts timestamp_ntz, value double"
@@ -82,20 +84,25 @@ def test_each_log_line_is_delivered_once(spark, tmp_path):
         lines = files.log_stream(spark, str(source))
         records = SL.log_records(lines, schema, {"database": "clickhouse", "component": "server"}, F.lit("db0"))
         SL.run_logs(records, out, checkpoint, every=None).awaitTermination()
-        return stored(spark, out, records.schema)
+        return appended(spark, out, records.schema)
 
     (source / "a.log").write_text('{"level": "Error"}\nnot json\n')
     first = drain()
     assert sorted((r["parsed"]["level"] or "", r["malformed"]) for r in first.collect()) == [("", True), ("Error", False)]
     assert {(r["host_name"], r["component"], r["file_name"]) for r in first.collect()} == {("db0", "server", "a.log")}
     (source / "b.log").write_text('{"level": "Warning"}\n')
-    rows = drain().collect()
-    assert sorted((r["batch"], r["body"]) for r in rows) == [
-        (0, "not json"),
-        (0, '{"level": "Error"}'),
-        (1, '{"level": "Warning"}'),
-    ]
-    assert len(drain().collect()) == 3
+    lines = ["not json", '{"level": "Error"}', '{"level": "Warning"}']
+    assert sorted(r["body"] for r in drain().collect()) == sorted(lines)
+    assert sorted(r["body"] for r in drain().collect()) == sorted(lines)
+
+
+def test_a_daily_index_can_be_fed_by_a_stream(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, [sample(i, "h", i * 40_000, i) for i in range(6)], source)
+    stream = SM.sample_stream(spark, source, T.StructType.fromDDL(SCHEMA)).withColumn("index", daily_index(F.col("ts")))
+    SL.run_logs(stream, out, str(tmp_path / "checkpoint"), every=None, partition_by=["index"]).awaitTermination()
+    day = read_daily_index(spark, out, since="logs-otel-2024.01.02")
+    assert sorted(r["sample_id"] for r in day.collect()) == [3, 4, 5]
 
 
 def test_old_files_are_left_out_when_starting_at_the_end(spark, tmp_path):
@@ -105,7 +112,7 @@ def test_old_files_are_left_out_when_starting_at_the_end(spark, tmp_path):
     lines = files.log_stream(spark, str(source), since=datetime(2999, 1, 1))
     out = str(tmp_path / "out")
     SL.run_logs(lines, out, str(tmp_path / "checkpoint"), every=None).awaitTermination()
-    assert stored(spark, out, lines.schema).count() == 0
+    assert appended(spark, out, lines.schema).count() == 0
 
 
 def test_event_stream_carries_counts_between_runs(spark, tmp_path):
