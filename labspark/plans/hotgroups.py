@@ -201,6 +201,9 @@ def join_unique(
 ) -> DataFrame:
     """Left join to a table with one row per key, with the rows of hot keys left where they are.
 
+    Spark splits hot keys of a join by itself, unless a step that follows wants the rows grouped by the same key or one
+    side comes straight out of an aggregation. This is for those cases; it counts the left keys first.
+
     The right rows of hot keys are at most ``MAX_HOT_GROUPS`` and are broadcast; all other keys are joined as usual, so
     the right table itself may be of any size. ``null_safe`` lets null keys match.
     """
