@@ -16,6 +16,8 @@ from labspark.plans.hotgroups import (
     SEED,
     SLICE,
     TARGET_ROWS,
+    largest_groups,
+    measured,
     micros,
     seed_with_last,
     seed_with_totals,
@@ -77,7 +79,7 @@ def _increases(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Cold and hot series apart, each with ``increase``."""
     order = [ts, tie] if tie else [ts]
-    cold, hot = split_hot(df, series, ts, target_rows, hot_when)
+    cold, hot = split_hot(df, series, ts, target_rows, hot_when, tie)
     along = Window.partitionBy(*series).orderBy(*order)
     columns = [*df.columns, "increase"]
     cold = cold.withColumn("increase", _step_increase(value, F.lag(value).over(along))).select(*columns)
@@ -114,13 +116,14 @@ def _rate_over_frames(df: DataFrame, series: Sequence[str], ts: str, window: tim
 
 
 def _rate_over_blocks(
-    df: DataFrame, series: Sequence[str], ts: str, window: timedelta, target_rows: int
+    df: DataFrame, series: Sequence[str], ts: str, window: timedelta, target_rows: int, distinct_times: bool = False
 ) -> DataFrame:
     """Trailing sums for dense series, linear in the number of samples.
 
     Time is cut into blocks of the window's length. A window then covers the end of one block and the start of the next.
     Each sample also visits the next block, moved by the window's length, so that both parts are running sums inside
-    one block: own samples forwards in time, visitors backwards.
+    one block: own samples forwards in time, visitors backwards. Samples of one instant share a rate; when too many do
+    for one task, they are added up first.
     """
     width = int(window.total_seconds() * 1_000_000)
     visits = (
@@ -131,7 +134,11 @@ def _rate_over_blocks(
         .withColumn("_visitor", F.when(F.col("_visit") == 1, F.col("increase")).otherwise(F.lit(0.0)))
     )
     keys = [*series, "_block"]
-    small, large = split_hot(visits, keys, "_at", target_rows)
+    crowded = F.col("_n") > target_rows
+    small, large = split_hot(visits, keys, "_at", target_rows, crowded)
+    if large is not None and not distinct_times:
+        if measured(largest_groups(large, [*keys, SLICE], crowded)) is not None:
+            return _rate_by_instant(df, series, ts, window, target_rows)
     seeded = small.withColumn(SLICE, F.lit(0).cast("bigint")).withColumn(SEED, F.lit(1))
     if large is not None:
         seeded = seeded.unionByName(seed_with_totals(large, keys, before=["_own"], after=["_visitor"]))
@@ -146,6 +153,20 @@ def _rate_over_blocks(
     )
 
 
+def _rate_by_instant(
+    df: DataFrame, series: Sequence[str], ts: str, window: timedelta, target_rows: int
+) -> DataFrame:
+    """The same with the samples of each instant added up before, and the rates joined back to the samples."""
+    instants = settled(df.groupBy(*series, ts).agg(F.sum("increase").alias("increase")))
+    rates = _rate_over_blocks(instants, series, ts, window, target_rows, distinct_times=True)
+    keys = [*series, ts]
+    named = rates.select(*[F.col(k).alias(f"_at_{i}") for i, k in enumerate(keys)], "rate")
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_at_{i}"))
+    return df.join(named, same, "left").select(*df.columns, "rate")
+
+
 def counter_rate(
     df: DataFrame,
     series: Sequence[str],

@@ -23,7 +23,7 @@ from labspark.session import scratch_path, shared_dir
 TARGET_ROWS = 1_000_000
 MAX_HOT_GROUPS = 10_000
 BURST_PARTS = 1024
-MAX_PARTS = 1 << 20  # three levels of slice numbers fit one bigint
+MAX_PARTS = 1 << 15  # four levels of slice numbers fit one bigint
 
 SLICE = "_slice"
 SEED = "_seed"
@@ -96,30 +96,39 @@ def split_hot(
     order: str,
     target_rows: int = TARGET_ROWS,
     hot_when: Column | None = None,
+    tie: str | None = None,
     levels: int = 3,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of cold groups, and rows of hot groups cut along ``order`` into slices of up to about ``target_rows`` rows.
 
     The hot rows carry ``_slice``, which rises with ``order``; they are None when no group is hot. Cutting is by equal
-    width between the group's ends; each further level cuts again the slices that a burst has left too large.
+    width between the group's ends; each further level cuts again the slices that a burst has left too large. Rows of one
+    instant can only be cut along a numeric ``tie``, when there is one.
 
     ``hot_when`` names further groups to treat as hot, as a condition on their count ``_n`` and ends ``_lo``, ``_hi``.
     """
     names = df.columns
     placed = df.select("*", position(df, order).alias("_pos"))
 
+    by_tie = tie is not None and isinstance(df.schema[tie].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType))
+
+    def ends(column: str, low: str, high: str) -> list[Column]:
+        return [F.min(column).alias(low), F.max(column).alias(high)]
+
     def measure(base: DataFrame, grouping: Sequence[str], also: Column | None = None) -> DataFrame | None:
-        ends = [F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi")]
         hot = (F.col("_n") > target_rows) & (F.col("_hi") > F.col("_lo"))
-        return measured(largest_groups(base, grouping, hot if also is None else hot | also, *ends))
+        return measured(largest_groups(base, grouping, hot if also is None else hot | also, *ends("_pos", "_lo", "_hi")))
 
-    def place(at_least: int) -> Column:
+    def place(at_least: int, column: str = "_pos") -> Column:
         # Half the target on average, so that uneven slices seldom exceed it and need another pass.
         wanted = F.greatest(F.ceil(F.col("_n") * 2 / F.lit(target_rows)), F.lit(at_least))
         parts = F.least(wanted, F.lit(MAX_PARTS)).cast("bigint")
-        offset = (F.col("_pos") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        offset = (F.col(column) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
         return F.coalesce(F.least(F.floor(offset * parts).cast("bigint"), parts - 1), F.lit(0))
 
+    if by_tie:
+        crowded = F.col("_n") > target_rows
+        hot_when = crowded if hot_when is None else hot_when | crowded
     groups = measure(placed, keys, hot_when)
     if groups is None:
         return df, None
@@ -132,7 +141,19 @@ def split_hot(
             break
         finer = F.col(SLICE) * MAX_PARTS + place(BURST_PARTS)
         hot = _join_hot(hot, slices, grouping, "left").select(*names, "_pos", finer.alias(SLICE))
-    return cold, hot.drop("_pos")
+    if by_tie:
+        grouping = [*keys, SLICE]
+        tied = hot.withColumn("_tie", position(df, tie))
+        instant = (F.col("_n") > target_rows) & (F.col("_first") == F.col("_last")) & (F.col("_hi") > F.col("_lo"))
+        sides = [*ends("_tie", "_lo", "_hi"), *ends("_pos", "_first", "_last")]
+        instants = measured(largest_groups(tied, grouping, instant, *sides))
+        finer = F.col(SLICE) * MAX_PARTS
+        if instants is None:
+            hot = tied.select(*names, finer.alias(SLICE))
+        else:
+            placed_ties = finer + place(BURST_PARTS, "_tie")
+            hot = _join_hot(tied, instants, grouping, "left").select(*names, placed_ties.alias(SLICE))
+    return cold, hot.select(*names, SLICE)
 
 
 def seed_with_last(sliced: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -174,7 +195,7 @@ def running_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``, without putting a hot group into one task."""
-    cold, hot = split_hot(df, keys, order[0], target_rows)
+    cold, hot = split_hot(df, keys, order[0], target_rows, tie=order[1] if len(order) > 1 else None)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     columns = [*df.columns, name]
     numbered = cold.withColumn(name, number.cast("bigint")).select(*columns)

@@ -92,7 +92,9 @@ def parse_state(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def state_hosts(states: DataFrame) -> DataFrame:
-    """One row per stored host: cluster, server type and the host's fields."""
-    by_type = states.select("clusterId", F.explode("hosts").alias("server_type", "_hosts"))
-    return by_type.select(F.col("clusterId").alias("cluster_id"), "server_type", F.inline("_hosts"))
+def state_hosts(states: DataFrame, *extra: Column) -> DataFrame:
+    """One row per stored host: cluster, server type, the host's fields and ``extra`` columns of its document."""
+    by_type = states.select(
+        F.col("clusterId").alias("cluster_id"), *extra, F.explode("hosts").alias("server_type", "_hosts")
+    )
+    return by_type.select(*[c for c in by_type.columns if c != "_hosts"], F.inline("_hosts"))

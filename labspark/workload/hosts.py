@@ -15,7 +15,6 @@ from labspark.functions.status import (
 from labspark.operators import hosts as H
 from labspark.operators import images as I
 from labspark.operators import resources as R
-from labspark.plans.hotgroups import join_unique
 from labspark.sources import state
 from labspark.workload.registry import query, table
 
@@ -396,13 +395,12 @@ def state_hosts(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     states = state.parse_state(documents.select(body.alias("body")))
-    options = states.select(
-        F.col("clusterId").alias("cluster_id"),
+    rows = state.state_hosts(
+        states,
         F.col("initConfig.cassandraInstances").alias("wanted"),
         F.col("initConfig.instanceType").alias("instance_type"),
-    ).distinct()
-    rows = state.state_hosts(states).select("cluster_id", "server_type", "alias", "instanceId")
-    return join_unique(rows, options, ["cluster_id"])
+    )
+    return rows.select("cluster_id", "server_type", "alias", "instanceId", "wanted", "instance_type")
 
 
 def tagged_lines(spark: SparkSession, sf: str) -> DataFrame:

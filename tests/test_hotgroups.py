@@ -46,10 +46,16 @@ def test_nothing_is_added_without_hot_groups(spark):
     assert hot is None
 
 
-def test_an_instant_cannot_be_cut_and_stays_whole(spark):
+def test_an_instant_is_cut_along_the_tie_only(spark):
     df = spark.createDataFrame([("g", datetime(2024, 1, 1), i) for i in range(50)], SCHEMA)
     cold, hot = H.split_hot(df, ["g"], "at", 10)
     assert (cold.count(), hot) == (50, None)
+    cold, hot = H.split_hot(df, ["g"], "at", 10, tie="id")
+    assert cold.count() == 0
+    slices = [r["_slice"] for r in hot.orderBy("id").collect()]
+    assert len(slices) == 50
+    assert slices == sorted(slices)
+    assert max(slices.count(s) for s in slices) <= 10
 
 
 @pytest.mark.parametrize("null_safe", [False, True])

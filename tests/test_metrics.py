@@ -118,6 +118,18 @@ def test_panel_and_load_columns(spark):
     assert (wide["one"], wide["five"], wide["fifteen"]) == (1.0, 2.0, None)
 
 
+@pytest.mark.parametrize("target_rows", [20, 5])
+def test_many_samples_of_one_instant(spark, target_rows):
+    draw = random.Random(13)
+    rows = [("hot" if i % 3 else None, draw.choice([7, 7, 7, 30, draw.randrange(0, 300)]), i, float(draw.randrange(90))) for i in range(300)]
+    df = spark.createDataFrame([("m", s, i, START + timedelta(seconds=t), v) for s, t, i, v in rows], SCHEMA)
+    want = plain_rates(rows, 60)
+    got = M.counter_rate(df, ["metric", "host"], timedelta(seconds=60), tie="sample_id", target_rows=target_rows).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["increase"], r["rate"]) == pytest.approx(want[r["sample_id"]])
+
+
 def test_a_dense_series_takes_the_linear_way(spark, monkeypatch):
     monkeypatch.setattr(M, "DENSE_ROWS", 50)
     monkeypatch.setattr(M, "DENSE_PER_WINDOW", 10)
