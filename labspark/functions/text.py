@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 ANSI_ESCAPE = "\\x1b\\[[0-9;]*[a-zA-Z]"
 ERROR_MARK = "ERROR: "
 
+EDGE_SPACE = "^[\\s\\p{Z}\\x1c-\\x1f]+|[\\s\\p{Z}\\x1c-\\x1f]+$"
+
 
 def name_type(name: Column) -> Column:
     """The image type held in a dashed name: third part from the end, ``unknown`` for names of under four parts."""
@@ -53,10 +55,10 @@ def wanted_file(path: Column, include: Sequence[str] = (), exclude: Sequence[str
 
 
 def clean_message(message: Column) -> Column:
-    """Strip colour codes, join lines with a space, collapse white space."""
+    """Strip colour codes, join lines with a space, trim any kind of space, collapse white space."""
     bare = F.regexp_replace(message, ANSI_ESCAPE, "")
-    single = F.regexp_replace(F.regexp_replace(bare, "[\\r\\n]+", " "), "\\s+", " ")
-    return F.trim(single)
+    line = F.regexp_replace(F.regexp_replace(bare, "[\\r\\n]+", " "), EDGE_SPACE, "")
+    return F.regexp_replace(line, "\\s+", " ")
 
 
 def event_message(event_type: Column, message: Column) -> Column:

@@ -42,7 +42,7 @@ def enrich(df: DataFrame, attributes: Mapping[str, Column | str], host: Column |
     return df.select("*", *added)
 
 
-def search(df: DataFrame, ts: str | None = None, tie: str | None = None, **wanted: object) -> DataFrame:
+def search(df: DataFrame, wanted: Mapping[str, object], ts: str | None = None, tie: str | None = None) -> DataFrame:
     """Lines whose columns equal all wanted values, newest first when ``ts`` is given.
 
     ``tie`` orders lines of one time, and lets Spark spread them when very many share it.

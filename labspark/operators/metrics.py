@@ -30,7 +30,9 @@ DENSE_ROWS = 20_000
 DENSE_PER_WINDOW = 500
 
 
-def select_metric(df: DataFrame, name: str, metric: str = "metric", labels: str = "labels", **wanted: str) -> DataFrame:
+def select_metric(
+    df: DataFrame, name: str, wanted: Mapping[str, str], metric: str = "metric", labels: str = "labels"
+) -> DataFrame:
     """Samples of one metric whose labels equal the wanted values."""
     keep = F.col(metric) == name
     for label, value in wanted.items():
@@ -52,10 +54,16 @@ def newest(df: DataFrame, ts: str = "ts", minus: timedelta = timedelta(0)) -> Co
     return df.agg((F.max(ts) - _span(minus)).alias("t")).scalar()
 
 
-def relative_range(df: DataFrame, last: timedelta, ts: str = "ts", as_of: Column | None = None) -> DataFrame:
-    """Rows of the trailing span, its left end open; ``as_of`` defaults to the newest row."""
+def relative_range(
+    df: DataFrame, last: timedelta, ts: str = "ts", as_of: Column | None = None, day: str | None = None
+) -> DataFrame:
+    """Rows of the trailing span, its left end open; ``as_of`` defaults to the newest row, which costs a scan of ``ts``.
+
+    For a table stored by day, ``day`` names the date column of its folders; older folders are then not read.
+    """
     start = newest(df, ts, last) if as_of is None else as_of - _span(last)
-    return df.where(F.col(ts) > start)
+    rows = df.where(F.col(ts) > start)
+    return rows if day is None else rows.where(F.col(day) >= F.to_date(start))
 
 
 def retention_split(df: DataFrame, keep: timedelta, ts: str = "ts", as_of: Column | None = None) -> DataFrame:

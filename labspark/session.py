@@ -13,7 +13,6 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.files.ignoreMissingFiles": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

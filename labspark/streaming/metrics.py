@@ -23,9 +23,11 @@ def sample_stream(
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Store the samples as they are."""
-    return append(stream, out, checkpoint, every)
+def ingest(
+    stream: DataFrame, out: str, checkpoint: str, every: str | None = None, partition_by: Sequence[str] = ()
+) -> StreamingQuery:
+    """Store the samples as they are, for instance in folders by day."""
+    return append(stream, out, checkpoint, every, partition_by)
 
 
 def gauge_steps(

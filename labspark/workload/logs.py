@@ -58,7 +58,7 @@ def log_enrich(spark: SparkSession, sf: str) -> DataFrame:
 )
 def log_search(spark: SparkSession, sf: str) -> DataFrame:
     recent = relative_range(log_records(spark, sf), timedelta(days=5))
-    return L.search(recent, "ts", "event_id", database="clickhouse", level="Error").select("event_id", "ts", "level", "body")
+    return L.search(recent, {"database": "clickhouse", "level": "Error"}, "ts", "event_id").select("event_id", "ts", "level", "body")
 
 
 @query(

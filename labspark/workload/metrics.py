@@ -46,7 +46,7 @@ def metric_select(spark: SparkSession, sf: str) -> DataFrame:
     labelled = table(spark, sf, "events").select(
         F.lit("events_total").alias("metric"), labels.alias("labels"), F.col("event_id").alias("sample_id"), "ts", "value"
     )
-    found = M.promote_labels(M.select_metric(labelled, "events_total", state="error"), ["host_name"])
+    found = M.promote_labels(M.select_metric(labelled, "events_total", {"state": "error"}), ["host_name"])
     return found.select("sample_id", "ts", "value", "host_name")
 
 

@@ -46,8 +46,8 @@ def test_broken_json_is_kept(spark):
 
 def test_search_and_adhoc_terms(spark):
     df = spark.createDataFrame([(1, "clickhouse", "Error"), (2, "clickhouse", "error"), (3, "x", "Error")], "ts int, database string, level string")
-    assert [r["ts"] for r in L.search(df, "ts", database="clickhouse", level="Error").collect()] == [1]
-    assert [r["ts"] for r in L.search(df, "ts").collect()] == [3, 2, 1]
+    assert [r["ts"] for r in L.search(df, {"database": "clickhouse", "level": "Error"}, "ts").collect()] == [1]
+    assert [r["ts"] for r in L.search(df, {}, "ts").collect()] == [3, 2, 1]
     assert [r["ts"] for r in L.adhoc_filter(df, [("ts", ">=", 2), ("level", "=~", "^E")]).collect()] == [3]
     assert L.adhoc_filter(df, [("database", "=", "x' OR 'a'='a")]).count() == 0
     with pytest.raises(ValueError):

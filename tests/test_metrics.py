@@ -98,12 +98,23 @@ def test_relative_range_has_an_open_left_end(spark):
     assert sorted(by_second(kept, "value")) == [30, 60]
 
 
+def test_relative_range_skips_older_folders(spark, tmp_path):
+    rows = [("m", "h", i, START + timedelta(hours=9 * i), 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("day", F.to_date("ts"))
+    df.write.partitionBy("day").parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    recent = M.relative_range(stored, timedelta(hours=20), as_of=F.lit(START + timedelta(hours=100)).cast("timestamp_ntz"), day="day")
+    assert sorted(r["sample_id"] for r in recent.collect()) == [9, 10, 11]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
 def test_select_and_promote_labels(spark):
     df = spark.createDataFrame(
         [("m", {"state": "idle", "host_name": "a"}), ("m", {"state": "user"}), ("n", {"state": "idle"})],
         "metric string, labels map<string,string>",
     )
-    rows = M.promote_labels(M.select_metric(df, "m", state="idle"), ["host_name"]).collect()
+    rows = M.promote_labels(M.select_metric(df, "m", {"state": "idle"}), ["host_name"]).collect()
     assert [r["host_name"] for r in rows] == ["a"]
 
 
