@@ -41,10 +41,15 @@ def micros(df: DataFrame, column: str) -> Column:
 
 
 def position(df: DataFrame, column: str) -> Column:
-    """A number that rises with ``column``: microseconds for timestamps, the value itself otherwise."""
+    """A number that never falls as ``column`` rises: microseconds, days, the first bytes of a text, or the value."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return micros(df, column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     return F.col(column).cast("double")
 
 
@@ -102,15 +107,15 @@ def split_hot(
     """Rows of cold groups, and rows of hot groups cut along ``order`` into slices of up to about ``target_rows`` rows.
 
     The hot rows carry ``_slice``, which rises with ``order``; they are None when no group is hot. Cutting is by equal
-    width between the group's ends; each further level cuts again the slices that a burst has left too large. Rows of one
-    instant can only be cut along a numeric ``tie``, when there is one.
+    width between the group's ends; each further level cuts again the slices that a burst has left too large. Rows equal
+    in ``order`` can only be cut along the ``tie``, when there is one. Of texts the first six bytes count.
 
     ``hot_when`` names further groups to treat as hot, as a condition on their count ``_n`` and ends ``_lo``, ``_hi``.
     """
     names = df.columns
     placed = df.select("*", position(df, order).alias("_pos"))
 
-    by_tie = tie is not None and isinstance(df.schema[tie].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType))
+    by_tie = tie is not None
 
     def ends(column: str, low: str, high: str) -> list[Column]:
         return [F.min(column).alias(low), F.max(column).alias(high)]
@@ -124,7 +129,9 @@ def split_hot(
         wanted = F.greatest(F.ceil(F.col("_n") * 2 / F.lit(target_rows)), F.lit(at_least))
         parts = F.least(wanted, F.lit(MAX_PARTS)).cast("bigint")
         offset = (F.col(column) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        return F.coalesce(F.least(F.floor(offset * parts).cast("bigint"), parts - 1), F.lit(0))
+        # Rows without a position sort first, and so do those of a group that is not cut.
+        within = F.least(F.floor(offset * parts).cast("bigint"), parts - 1)
+        return F.when(offset.isNull(), F.lit(0)).otherwise(within)
 
     if by_tie:
         crowded = F.col("_n") > target_rows
@@ -144,8 +151,9 @@ def split_hot(
     if by_tie:
         grouping = [*keys, SLICE]
         tied = hot.withColumn("_tie", position(df, tie))
-        instant = (F.col("_n") > target_rows) & (F.col("_first") == F.col("_last")) & (F.col("_hi") > F.col("_lo"))
-        sides = [*ends("_tie", "_lo", "_hi"), *ends("_pos", "_first", "_last")]
+        same = (F.col("_first") == F.col("_last")) & (F.col("_timed") == F.col("_n"))
+        instant = (F.col("_n") > target_rows) & same & (F.col("_hi") > F.col("_lo"))
+        sides = [*ends("_tie", "_lo", "_hi"), *ends(order, "_first", "_last"), F.count(order).alias("_timed")]
         instants = measured(largest_groups(tied, grouping, instant, *sides))
         finer = F.col(SLICE) * MAX_PARTS
         if instants is None:

@@ -90,6 +90,26 @@ def test_first_n_with_and_without_spreading(spark, n, monkeypatch):
     assert sorted(r["id"] for r in found) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "int", "double", "timestamp"])
+def test_numbering_along_any_kind_of_order(spark, kind):
+    draw = random.Random(4)
+    values = {
+        "string": lambda: draw.choice(["", "é", "zz", None]) if draw.random() < 0.2 else "".join(draw.choices("aéz0", k=5)),
+        "date": lambda: (datetime(2024, 1, 1) + timedelta(days=draw.randrange(50))).date(),
+        "int": lambda: draw.choice([None, draw.randrange(-20, 20)]),
+        "double": lambda: draw.uniform(-1, 1),
+        "timestamp": lambda: draw.choice([None, datetime(2024, 1, 1) + timedelta(hours=draw.randrange(9))]),
+    }[kind]
+    data = [("g", values(), i) for i in range(200)]
+    df = spark.createDataFrame(data, f"g string, at {kind}, id int")
+    found = H.running_number(df, ["g"], ["at", "id"], "n", target_rows=12).collect()
+    key = (lambda v: v.encode()) if kind == "string" else (lambda v: v)
+    nulls = sorted(r[2] for r in data if r[1] is None)
+    rest = [r[2] for r in sorted((r for r in data if r[1] is not None), key=lambda r: (key(r[1]), r[2]))]
+    assert [r["id"] for r in sorted(found, key=lambda r: r["n"])] == nulls + rest
+    assert [r["n"] for r in sorted(found, key=lambda r: r["n"])] == list(range(1, 201))
+
+
 def test_groups_left_out_of_the_hot_list_are_still_answered(spark, monkeypatch):
     monkeypatch.setattr(H, "MAX_HOT_GROUPS", 1)
     data = rows()
