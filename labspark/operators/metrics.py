@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from labspark.plans.hotgroups import (
@@ -84,18 +84,23 @@ def _increases(
     tie: str | None,
     target_rows: int,
     hot_when: Column | None = None,
+    before: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Cold and hot series apart, each with ``increase``."""
     order = [ts, tie] if tie else [ts]
     cold, hot = split_hot(df, series, ts, target_rows, hot_when, tie)
     along = Window.partitionBy(*series).orderBy(*order)
     columns = [*df.columns, "increase"]
-    cold = cold.withColumn("increase", _step_increase(value, F.lag(value).over(along))).select(*columns)
+
+    def grow(window: WindowSpec) -> Column:
+        previous = F.lag(value).over(window)
+        return _step_increase(value, previous if before is None else F.coalesce(previous, before))
+
+    cold = cold.withColumn("increase", grow(along)).select(*columns)
     if hot is not None:
         within = Window.partitionBy(*series, SLICE).orderBy(SEED, *order)
         seeded = seed_with_last(hot, series, order, [value])
-        grown = seeded.withColumn("increase", _step_increase(value, F.lag(value).over(within)))
-        hot = grown.where(F.col(SEED) == 1).select(*columns)
+        hot = seeded.withColumn("increase", grow(within)).where(F.col(SEED) == 1).select(*columns)
     return cold, hot
 
 
@@ -106,9 +111,13 @@ def counter_increase(
     value: str = "value",
     tie: str | None = None,
     target_rows: int = TARGET_ROWS,
+    before: str | None = None,
 ) -> DataFrame:
-    """Add ``increase``: growth since the sample before; after a reset the value itself; 0 for the first sample."""
-    cold, hot = _increases(df, series, ts, value, tie, target_rows)
+    """Add ``increase``: growth since the sample before; after a reset the value itself; 0 for the first sample.
+
+    ``before`` names a column with the value that came before the first sample, for series that go on from earlier rows.
+    """
+    cold, hot = _increases(df, series, ts, value, tie, target_rows, before=before)
     return cold if hot is None else cold.unionByName(hot)
 
 

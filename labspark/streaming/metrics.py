@@ -79,16 +79,19 @@ def counter_batch(
     ``last`` holds the last sample per series from before. Samples that are not newer than it are late and dropped.
     """
     columns = [*series, ts, value, tie]
-    known = last.select(*[F.col(k).alias(f"_last_{i}") for i, k in enumerate(series)], F.col(ts).alias("_last_ts"))
+    known = last.select(
+        *[F.col(k).alias(f"_last_{i}") for i, k in enumerate(series)],
+        F.col(ts).alias("_last_ts"),
+        F.col(value).alias("_last_value"),
+    )
     same = F.lit(True)
     for i, key in enumerate(series):
         same = same & F.col(key).eqNullSafe(F.col(f"_last_{i}"))
     fresh = batch.select(*columns).join(known, same, "left")
-    fresh = fresh.where(F.col("_last_ts").isNull() | (F.col(ts) > F.col("_last_ts"))).select(*columns)
-    both = fresh.withColumn("_old", F.lit(False)).unionByName(last.select(*columns).withColumn("_old", F.lit(True)))
-    grown = counter_increase(both, series, ts, value, tie, target_rows)
-    increases = grown.where(~F.col("_old")).drop("_old")
-    return increases, first_n(both.drop("_old"), list(series), [F.desc(ts), F.desc(tie)], 1)
+    fresh = fresh.where(F.col("_last_ts").isNull() | (F.col(ts) > F.col("_last_ts"))).select(*columns, "_last_value")
+    increases = counter_increase(fresh, series, ts, value, tie, target_rows, "_last_value").drop("_last_value")
+    both = fresh.select(*columns).unionByName(last.select(*columns))
+    return increases, first_n(both, list(series), [F.desc(ts), F.desc(tie)], 1)
 
 
 def run_counter_increase(

@@ -28,6 +28,13 @@ def test_increase_handles_a_reset_and_a_single_sample(spark):
     assert [r["increase"] for r in M.counter_increase(samples(spark, [(0, 7)]), ["host"]).collect()] == [0.0]
 
 
+@pytest.mark.parametrize("target_rows", [1_000_000, 3])
+def test_increase_goes_on_from_an_earlier_value(spark, target_rows):
+    df = samples(spark, [(t, t) for t in range(10, 110, 10)]).withColumn("was", F.lit(4.0))
+    found = by_second(M.counter_increase(df, ["host"], target_rows=target_rows, before="was").collect(), "increase")
+    assert found == {10: 6.0, **{t: 10.0 for t in range(20, 110, 10)}}
+
+
 @pytest.mark.parametrize("target_rows", [1_000_000, 4])
 def test_rate_of_a_steady_counter_is_one(spark, target_rows):
     df = samples(spark, [(t, t) for t in range(0, 121, 10)])
