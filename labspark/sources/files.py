@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labspark.operators.manifest import relative_path
 from labspark.plans.topn import first_n
 
+FILE_SYSTEM = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/"
 STEP_LOG = r"([^/]+)/steps/([^/]+)/(stdout|stderr)\.gz$"
 
 
@@ -48,7 +49,8 @@ def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     ).load(folder)
     root = folder.rstrip("/")
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/") if root.startswith("/") else F.col("path")
+    # Listed paths carry the file system's name; drop it when the folder was given without one.
+    path = F.regexp_replace("path", FILE_SYSTEM, "/") if root.startswith("/") else F.col("path")
     return files.select(
         "path",
         relative_path(path, root).alias("relative_path"),

@@ -80,6 +80,12 @@ def test_manifest_lists_files_below_the_folder(spark, tmp_path):
     assert rows == {"a.txt": 5, "sub dir/b.txt": 1}
 
 
+@pytest.mark.parametrize("path", ["file:/a/b", "file:///a/b", "hdfs://node:8020/a/b", "s3a://bucket/a/b", "/a/b"])
+def test_file_system_names_are_dropped(spark, path):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(F.regexp_replace("path", files.FILE_SYSTEM, "/")).first()[0] == "/a/b"
+
+
 def test_step_logs_and_their_tail(spark, tmp_path):
     for step, name, n in [("s-1", "stderr", 150), ("s-1", "stdout", 3), ("s-2", "stderr", 2)]:
         folder = tmp_path / "c-1" / "steps" / step
