@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of, same_type
+from labspark.workload import ORACLES, QUERIES
 
 # These read the folder or have no fixed answer in SQL.
 ROWS_ONLY = {"file_manifest"}
@@ -21,17 +22,17 @@ def db(sf):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, sf, name):
-    df = entry.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     mine = rows_of(df.columns, df.collect())
     assert mine
     if name in ROWS_ONLY:
         return
-    cursor = db.execute(entry.oracle_sql()[name])
+    cursor = db.execute(ORACLES[name])
     types = {d[0]: str(d[1]) for d in cursor.description}
     assert sorted(types) == sorted(df.columns)
     assert [(c, t, types[c]) for c, t in df.dtypes if not same_type(t, types[c])] == []
