@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.llm.common import documents
 from labspark.llm.exact_dedup import exact_classes
+from labspark.llm.token_files import read_token_checksums, write_token_files
+from labspark.session import scratch_path
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +52,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), folder, TOKENIZER)
+    return read_token_checksums(spark, folder)
