@@ -25,13 +25,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is in ``kept``, one row for each key.
+    """The rows of ``docs`` whose ``key`` is in ``kept``, one row for each key, or as many as its third column says.
 
-    ``kept`` has one row per key: the key in its first column and, in its second, how many rows of ``docs`` have it.
-    Rows of a repeated key go through a distinct on the key; all others only through the join.
+    ``kept`` has one row per key: the key, how many rows of ``docs`` have it and, if wanted, how often to give it. Rows of
+    a repeated key go through a distinct on the key; all others only through the join.
     """
-    marks = kept.toDF("_key", "_copies")
+    marks = kept.toDF("_key", "_copies", *["_times"] * (len(kept.columns) > 2))
     joined = docs.join(marks, F.col(key).eqNullSafe(F.col("_key")), "inner")
-    single = joined.where(F.col("_copies") == 1)
-    repeated = joined.where(F.col("_copies") > 1).dropDuplicates(["_key"])
-    return single.unionByName(repeated).select(*[docs[c] for c in docs.columns])
+    once = joined.where(F.col("_copies") == 1).unionByName(joined.where(F.col("_copies") > 1).dropDuplicates(["_key"]))
+    if "_times" in marks.columns:
+        once = once.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+    return once.select(*docs.columns)

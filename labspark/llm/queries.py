@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labspark.llm.common import documents
 from labspark.llm.exact_dedup import exact_classes
+from labspark.llm.mixing import mix_counts
 from labspark.llm.packing import pack_documents
 from labspark.llm.token_files import read_token_checksums, write_token_files
 from labspark.session import scratch_path
@@ -65,3 +66,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), TOKENIZER).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_source_mix")
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
