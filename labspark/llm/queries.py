@@ -12,6 +12,7 @@ from labspark.llm.common import documents
 from labspark.llm.exact_dedup import exact_classes
 from labspark.llm.mixing import mix_counts
 from labspark.llm.packing import pack_documents
+from labspark.llm.simhash import near_duplicates
 from labspark.llm.token_files import read_token_checksums, write_token_files
 from labspark.session import scratch_path
 
@@ -71,3 +72,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix")
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
