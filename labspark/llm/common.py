@@ -12,6 +12,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def text_of(column: str) -> Column:
     """A text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

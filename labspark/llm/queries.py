@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm.common import documents
+from labspark.llm.common import documents, labels
 from labspark.llm.exact_dedup import exact_classes
 from labspark.llm.mixing import mix_counts
 from labspark.llm.packing import pack_documents
+from labspark.llm.quality import THRESHOLD, fit, held_out, score
 from labspark.llm.simhash import near_duplicates
 from labspark.llm.token_files import read_token_checksums, write_token_files
 from labspark.session import scratch_path
@@ -79,3 +80,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    known = labels(spark, sf_dir)
+    model = fit(docs, known.where(~held_out("doc_id")))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
