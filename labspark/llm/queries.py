@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.llm.common import documents, labels
 from labspark.llm.exact_dedup import exact_classes
 from labspark.llm.mixing import mix_counts
 from labspark.llm.packing import pack_documents
+from labspark.llm.pii import KINDS, personal_data
 from labspark.llm.quality import THRESHOLD, fit, held_out, score
 from labspark.llm.simhash import near_duplicates
 from labspark.llm.token_files import read_token_checksums, write_token_files
@@ -89,3 +90,24 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, known.where(~held_out("doc_id")))
     scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query("op1_personal_data")
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def line(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(line(F.col("base")), 256).alias("base_sha256"),
+        line(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+    )
