@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labspark.llm import pii, secrets
 from labspark.llm.common import documents, labels
 from labspark.llm.exact_dedup import exact_classes
 from labspark.llm.mixing import mix_counts
 from labspark.llm.packing import pack_documents
-from labspark.llm.pii import KINDS, personal_data
 from labspark.llm.quality import THRESHOLD, fit, held_out, score
 from labspark.llm.simhash import near_duplicates
 from labspark.llm.token_files import read_token_checksums, write_token_files
@@ -92,22 +92,32 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-@query("op1_personal_data")
-def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(documents(spark, sf_dir))
-    names = F.array(*[F.lit(k) for k in KINDS])
+def span_line(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """``kind:start:end`` of each span, joined by commas."""
+    names = F.array(*[F.lit(k) for k in kinds])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+
 
-    def line(spans: Column) -> Column:
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+def span_digest(found: DataFrame, kinds: tuple[str, ...], counted: int) -> DataFrame:
+    """Counts of the base spans of the first ``counted`` kinds, their digest, and all spans."""
 
     def count(kind: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kinds[kind]}")
 
-    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return found.select(
         F.col("id").alias("doc_id"),
-        *counts,
-        F.sha2(line(F.col("base")), 256).alias("base_sha256"),
-        line(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        *[count(i) for i in range(counted)],
+        F.sha2(span_line(F.col("base"), kinds), 256).alias("base_sha256"),
+        span_line(F.array_sort(F.concat("base", "added")), kinds).alias("spans"),
         F.size("added").cast("bigint").alias("n_added"),
     )
+
+
+@query("op1_personal_data")
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii.personal_data(documents(spark, sf_dir)), pii.KINDS, 4)
+
+
+@query("op8_secrets")
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(secrets.secrets(documents(spark, sf_dir)), secrets.KINDS, 3)
