@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.llm import pii, secrets
-from labspark.llm.common import documents, labels
+from labspark.llm.common import TOKENIZER, documents, labels
 from labspark.llm.exact_dedup import exact_classes
+from labspark.llm.licenses import TEMPLATES, license_matches
 from labspark.llm.mixing import mix_counts
 from labspark.llm.packing import pack_documents
 from labspark.llm.quality import THRESHOLD, fit, held_out, score
 from labspark.llm.simhash import near_duplicates
 from labspark.llm.token_files import read_token_checksums, write_token_files
+from labspark.llm.topk import divisible, top_k
 from labspark.session import scratch_path
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -121,3 +120,56 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secrets")
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secrets.secrets(documents(spark, sf_dir)), secrets.KINDS, 3)
+
+
+LICENSES_SQL = """
+WITH words AS (
+    SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents
+),
+shingles AS (
+    SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+    FROM words WHERE len(w) > 0
+),
+names(template, text) AS (VALUES {templates}),
+template_words AS (
+    SELECT template, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM names
+),
+wanted AS (
+    SELECT template, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS t
+    FROM template_words
+),
+counted AS (
+    SELECT doc_id, template, len(list_intersect(t, s)) AS matched, len(t) AS shingles FROM shingles, wanted
+)
+SELECT doc_id, template, matched / shingles AS containment, CAST(matched AS INTEGER) AS matched, CAST(shingles AS INTEGER) AS shingles
+FROM counted WHERE matched >= shingles * 0.8
+""".replace("{templates}", ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES))
+
+
+@query("op2_license_scan", LICENSES_SQL)
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("first_word")
+
+
+@query(
+    "op7_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+               CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    WHERE rank <= 10
+    """,
+)
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, divisible(vectors, "vec_id", 100)).withColumnRenamed("id", "vec_id")
