@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+import os
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import labspark
 from labspark.session import scratch_path
 
 #: The tokenizer of the queries here.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def importable(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``fn`` of a session, with this package on the path of Python workers that see the driver's folders.
+
+    Workers on other machines get it as Spark distributes it, by ``--py-files`` or their own installation.
+    """
+
+    @functools.wraps(fn)
+    def wrapped(spark: SparkSession, *rest) -> DataFrame:
+        environment = spark.sparkContext.environment
+        root = os.path.dirname(os.path.dirname(os.path.abspath(labspark.__file__)))
+        path = environment.get("PYTHONPATH", "")
+        if root not in path.split(os.pathsep):
+            environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, path)))
+        return fn(spark, *rest)
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.llm import pii, secrets
-from labspark.llm.common import TOKENIZER, documents, labels
+from labspark.llm.common import TOKENIZER, documents, importable, labels
 from labspark.llm.exact_dedup import exact_classes
 from labspark.llm.licenses import TEMPLATES, license_matches
 from labspark.llm.mixing import mix_counts
@@ -27,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = importable(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -173,3 +174,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors, divisible(vectors, "vec_id", 100)).withColumnRenamed("id", "vec_id")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
