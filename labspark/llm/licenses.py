@@ -75,7 +75,12 @@ def minima(window: Column) -> Column:
 
 def bands(signature: Column) -> Column:
     numbers = F.array(*[F.lit(i) for i in range(BANDS)])
-    return F.transform(numbers, lambda b: F.xxhash64(b, *[F.get(signature, b * ROWS + r) for r in range(ROWS)]))
+
+    def of(held: Column) -> Column:
+        return F.transform(numbers, lambda b: F.xxhash64(b, *[F.get(held, b * ROWS + r) for r in range(ROWS)]))
+
+    # A transform of one element again, so that the signature is formed once and not for each band.
+    return F.element_at(F.transform(F.array(signature), of), 1)
 
 
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
