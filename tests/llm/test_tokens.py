@@ -1,0 +1,149 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from labspark.llm import tokens
+from labspark.llm.common import TOKENIZER
+from labspark.llm.packing import best_fill, configurations, pack_documents, packed, plan
+from labspark.llm.token_files import read_token_checksums, read_token_files, write_token_files
+from labspark.session import scratch_path
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def ids_of(library, text):
+    return [*library.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_encoder_agrees_with_the_library(library, odd_rows):
+    coder = tokens.Encoder(TOKENIZER)
+    rng = random.Random(1)
+    letters = "ab'sStTreveLLmd .!\t\n\x85\xa0\x1c\x00-9²½µºßÉé×÷_AZ<|"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    texts += ["<|endoftext|> a", "İstanbul ΑΣ", "'" * 30 + "s", "x" * 25 + " " + "y" * 24, "we'll'll l'eau's"]
+    texts += [r[1] or "" for r in odd_rows]
+    for part in (texts, texts[::-1]):
+        assert [x.tolist() for x in coder.encode(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_encoder_forgets_when_full(library, monkeypatch):
+    monkeypatch.setattr(tokens, "SLOT_BITS", 6)
+    coder = tokens.Encoder(TOKENIZER)
+    for i in range(20):
+        texts = [f"unit{i}x{j} other" for j in range(30)]
+        assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_round_trip(spark, odd, odd_rows, library):
+    folder = scratch_path(spark, "test-tokens")
+    write_token_files(odd, folder, TOKENIZER)
+    found = sorted(read_token_files(spark, folder).collect(), key=lambda r: r.start)
+    known = [r for r in found if r.doc_id is not None]
+    assert [r.doc_id for r in known] == sorted(r[0] for r in odd_rows if r[0] is not None)
+    want = {r[0]: ids_of(library, r[1]) for r in odd_rows}
+    assert all(r.ids == want[r.doc_id] for r in found)
+    at = 0
+    for r in found:
+        assert (r.start, r.n_tokens) == (at, len(r.ids))
+        at += r.n_tokens
+    sums = {r.doc_id: r.ids_crc32 for r in read_token_checksums(spark, folder).collect()}
+    assert sums == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in want.items()}
+
+
+def test_files_of_an_empty_table(spark, empty):
+    folder = scratch_path(spark, "test-tokens")
+    write_token_files(empty, folder, TOKENIZER)
+    assert read_token_files(spark, folder).count() == 0
+
+
+def places(runs):
+    out, bins = defaultdict(list), defaultdict(list)
+    for r in runs:
+        for j in range(r.n):
+            out[r.length].append(r.first + j)
+            bins[r.bin + j // r.each].append((r.offset + j % r.each * r.length, r.length))
+    return out, bins
+
+
+def check_plan(counts, capacity):
+    items, bins = places(plan(counts, capacity))
+    assert {n: sorted(x) for n, x in items.items()} == {n: list(range(c)) for n, c in counts.items() if c}
+    for inside in bins.values():
+        at = 0
+        for offset, length in sorted(inside):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert sorted(bins) == list(range(len(bins)))
+    return len(bins)
+
+
+def test_plans_are_whole_and_tight():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        capacity = int(rng.integers(1, 40))
+        sizes = rng.integers(1, capacity + 1, rng.integers(1, 60))
+        counts = {int(n): int((sizes == n).sum()) for n in np.unique(sizes)}
+        bins = check_plan(counts, capacity)
+        assert bins <= 2 * -(-int(sizes.sum()) // capacity)
+    assert check_plan({}, 10) == 0
+    assert check_plan({10: 3}, 10) == 3
+    sizes = np.minimum(4096, np.exp(rng.normal(6.3, 1.2, 5000)).astype(int) + 1)
+    counts = {int(n): int((sizes == n).sum()) for n in np.unique(sizes)}
+    assert check_plan(counts, 4096) <= -(-int(sizes.sum()) // 4096) * 1.005 + 1
+
+
+def test_configurations_fit_and_meet_demand():
+    sizes, demand = np.array([45, 36, 31, 14]), np.array([97, 610, 395, 211])
+    chosen = configurations(sizes, demand, 100)
+    assert all(c @ sizes <= 100 for c, _ in chosen)
+    used = sum(c * n for c, n in chosen)
+    # The classic cutting-stock example: 453 rolls, of which rounding leaves a few.
+    assert (used <= demand).all() and sum(n for _, n in chosen) <= 453
+    assert best_fill(sizes, np.array([0.5, 1 / 3, 1 / 3, 0.1]), 100) @ sizes <= 100
+
+
+def check_pieces(rows, capacity):
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for inside in bins.values():
+        at = 0
+        for offset, length in sorted(inside):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+def test_documents_are_packed(odd, odd_rows, library):
+    rows = pack_documents(odd, TOKENIZER, 64).collect()
+    want = []
+    for r in odd_rows:
+        ids = ids_of(library, r[1])
+        for piece, start in enumerate(range(0, len(ids), 64)):
+            part = np.array(ids[start : start + 64], "<u4")
+            want.append((r[0], piece, start, len(part), zlib.crc32(part.tobytes())))
+    found = [(r.id, r.piece, r.start, r.length, r.ids_crc32) for r in rows]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert check_pieces(rows, 64) <= -(-sum(r.length for r in rows) // 64) + 1
+
+
+def test_a_third_of_one_length(spark):
+    items = spark.range(9000).selectExpr("id", "if(id % 3 = 0, 7L, 1 + id % 50) AS length", "0L AS sequence_id")
+    rows = packed(items, "length", 50, ["id"]).collect()
+    assert len(rows) == 9000
+    check_pieces(rows, 50)
+
+
+def test_pack_empty(empty):
+    assert pack_documents(empty, TOKENIZER).count() == 0
