@@ -40,7 +40,7 @@ def mark_surplus(
 
 
 def in_delete_order(surplus: DataFrame, at: str = "creation_date", tie: str = "id") -> DataFrame:
-    """Oldest first."""
+    """Oldest first. For the rows to delete; sorting all images would shuffle those that stay."""
     return surplus.orderBy(F.asc(at), F.asc(tie))
 
 

@@ -20,10 +20,10 @@ PORT_TEXTS = {
     6379: "Redis",
     7000: "Cassandra Inter-node",
     7001: "Cassandra Inter-node SSL",
-    7199: "Cassandra JMX",
     9042: "Cassandra CQL",
     9142: "Cassandra CQL SSL",
     9160: "Cassandra Thrift",
+    10000: "Cassandra JMX",
 }
 ROUTE_TABLE = "route_table"
 IDS_PER_ROW = 10_000

@@ -62,7 +62,8 @@ def mark_beyond_n(df: DataFrame, keys: Sequence[str], at: str, tie: str, n: int,
     condition = F.lit(True)
     for i, key in enumerate(keys):
         condition = condition & F.col(key).eqNullSafe(F.col(f"_cut_{i}"))
-    later_tie = F.col(tie) > F.col("_cut.tie")
+    # As in the ranking, a row without a tie comes first among rows of its time.
+    later_tie = F.coalesce(F.col(tie) > F.col("_cut.tie"), F.col(tie).isNotNull() & F.col("_cut").isNotNull())
     beyond = (
         F.when(F.col(at).isNull(), F.col("_cut.at").isNotNull() | later_tie)
         .when(F.col("_cut.at").isNull(), F.lit(False))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.operators.manifest import relative_path
@@ -59,22 +60,30 @@ def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     ).where(F.col("relative_path").isNotNull())
 
 
-def step_logs(spark: SparkSession, folder: str, layout: str = STEP_LOG) -> DataFrame:
+def plain_path(path: Column) -> Column:
+    """A listed path without its URI encoding; a plus sign stays."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def step_logs(
+    spark: SparkSession, folder: str, layout: str = STEP_LOG, logs: Sequence[str] = ("stdout", "stderr")
+) -> DataFrame:
     """Lines of gzipped step logs below a folder with cluster, step and log name taken from the path.
 
-    A file that vanishes while the job runs is skipped. Spark reads a gzipped file in one task and in order, so
-    ``line_order`` rises with the lines of a file.
+    Only files of the ``logs`` named are read: the condition is on the path alone, so Spark leaves other files out before
+    it opens them. A file that vanishes while the job runs is skipped. Spark reads a gzipped file in one task and in order,
+    so ``line_order`` rises with the lines of a file.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-    lines = reader.text(folder).select(
+    listed = plain_path(F.col("_metadata.file_path"))
+    wanted = F.regexp_extract(listed, layout, 3).isin(*logs)
+    lines = reader.option("pathGlobFilter", "*.gz").text(folder).where(wanted).select(
         F.col("value").alias("line"),
-        F.regexp_replace(F.col("_metadata.file_path"), "%20", " ").alias("_path"),
+        listed.alias("_path"),
         F.monotonically_increasing_id().alias("line_order"),
     )
     parts = [F.regexp_extract("_path", layout, i) for i in (1, 2, 3)]
-    return lines.where(F.col("_path").rlike(layout)).select(
-        parts[0].alias("cluster_id"), parts[1].alias("step_id"), parts[2].alias("log"), "line_order", "line"
-    )
+    return lines.select(parts[0].alias("cluster_id"), parts[1].alias("step_id"), parts[2].alias("log"), "line_order", "line")
 
 
 def step_log_tail(logs: DataFrame, n: int = 100, log: str = "stderr") -> DataFrame:

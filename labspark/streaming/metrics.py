@@ -18,11 +18,24 @@ from labspark.streaming.batches import Carried, append, run, store_batch
 def sample_stream(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int = 1024
 ) -> DataFrame:
-    """Samples as they arrive as files."""
+    """Samples as they arrive as files directly in a folder."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1024) -> DataFrame:
+    """The rows of a stored table as a stream, whether the table is one file or a folder of part files.
+
+    A table that does not exist is an error: a stream over it would wait, or end, without a row.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    schema = spark.read.parquet(path).schema
+    if status.isDirectory():
+        return sample_stream(spark, path, schema, "*", files_per_batch)
+    return sample_stream(spark, at.getParent().toString(), schema, at.getName(), files_per_batch)
+
+
 def ingest(
     stream: DataFrame, out: str, checkpoint: str, every: str | None = None, partition_by: Sequence[str] = ()
 ) -> StreamingQuery:

@@ -240,20 +240,23 @@ def alias_resolve(spark: SparkSession, sf: str) -> DataFrame:
     "resource_summary",
     """SELECT vpc_id, count(*) FILTER (kind = 'instance') AS n_instance, count(*) FILTER (kind = 'subnet') AS n_subnet,
               count(*) FILTER (kind = 'route_table') AS n_route_table, bool_or(kind <> 'route_table') AS has_resources
-       FROM (SELECT c_nationkey::varchar AS vpc_id, 'instance' AS kind FROM customer WHERE c_nationkey <> 4
-             UNION ALL SELECT s_nationkey::varchar, 'subnet' FROM supplier WHERE s_nationkey <> 4
-             UNION ALL SELECT n_nationkey::varchar, 'route_table' FROM nation) GROUP BY 1""",
+       FROM (SELECT c_nationkey::varchar AS vpc_id, 'instance' AS kind FROM customer
+             UNION ALL SELECT s_nationkey::varchar, 'subnet' FROM supplier
+             UNION ALL SELECT n_nationkey::varchar, 'route_table' FROM nation
+             UNION ALL SELECT 'region ' || r_regionkey, 'route_table' FROM region) GROUP BY 1""",
 )
 def resource_summary(spark: SparkSession, sf: str) -> DataFrame:
-    customers = table(spark, sf, "customer").where(F.col("c_nationkey") != 4)
-    suppliers = table(spark, sf, "supplier").where(F.col("s_nationkey") != 4)
     resources = R.inventory(
         {
-            "instance": (customers, "c_nationkey", "c_custkey"),
-            "subnet": (suppliers, "s_nationkey", "s_suppkey"),
+            "instance": (table(spark, sf, "customer"), "c_nationkey", "c_custkey"),
+            "subnet": (table(spark, sf, "supplier"), "s_nationkey", "s_suppkey"),
             "route_table": (table(spark, sf, "nation"), "n_nationkey", "n_nationkey"),
         }
     )
+    # Networks that have nothing but a route table.
+    network = F.concat(F.lit("region "), F.col("r_regionkey").cast("string"))
+    bare = table(spark, sf, "region").withColumn("vpc_id", network)
+    resources = resources.unionByName(R.inventory({"route_table": (bare, "vpc_id", "r_regionkey")}))
     return R.resource_summary(resources, ["instance", "subnet", "route_table"])
 
 
@@ -329,16 +332,29 @@ def missing_rules_anti_join(spark: SparkSession, sf: str) -> DataFrame:
                 CASE WHEN l_returnflag = 'N' THEN 'All' ELSE 'TCP' END AS protocol_text,
                 coalesce(CASE WHEN l_linestatus = 'O' THEN l_shipdate::date::varchar END,
                   CASE WHEN from_port IS NULL OR to_port IS NULL THEN 'All traffic' WHEN from_port <> to_port THEN NULL
-                       WHEN from_port = 22 THEN 'SSH' WHEN from_port = 80 THEN 'HTTP' WHEN from_port = 9042 THEN 'Cassandra CQL'
+                       WHEN from_port = 22 THEN 'SSH'
+                       WHEN from_port = 80 THEN 'HTTP'
+                       WHEN from_port = 443 THEN 'HTTPS'
+                       WHEN from_port = 3306 THEN 'MySQL'
+                       WHEN from_port = 5432 THEN 'PostgreSQL'
+                       WHEN from_port = 6379 THEN 'Redis'
+                       WHEN from_port = 7000 THEN 'Cassandra Inter-node'
+                       WHEN from_port = 7001 THEN 'Cassandra Inter-node SSL'
+                       WHEN from_port = 9042 THEN 'Cassandra CQL'
+                       WHEN from_port = 9142 THEN 'Cassandra CQL SSL'
+                       WHEN from_port = 9160 THEN 'Cassandra Thrift'
+                       WHEN from_port = 10000 THEN 'Cassandra JMX'
                        END) AS description,
                 unnest([l_linestatus, CASE WHEN l_quantity > 30 THEN l_returnflag END]) AS cidr
-         FROM (SELECT *, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE [22, 80, 9042, 1234][l_linenumber % 4 + 1] END AS from_port,
-                      [22, 80, 9042, 1234][l_linenumber % 4 + 1] + (l_partkey % 2)::int AS to_port FROM lineitem))
+         FROM (SELECT *, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE [22, 80, 443, 3306, 5432, 6379, 7000, 7001, 9042, 9142, 9160, 10000, 7199][l_orderkey % 13 + 1] END AS from_port,
+                      [22, 80, 443, 3306, 5432, 6379, 7000, 7001, 9042, 9142, 9160, 10000, 7199][l_orderkey % 13 + 1]
+                        + (l_partkey % 2)::int AS to_port FROM lineitem))
        WHERE cidr IS NOT NULL""",
 )
 def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
-    ports = F.array(F.lit(22), F.lit(80), F.lit(9042), F.lit(1234))
-    port = F.get(ports, F.col("l_linenumber") % 4)
+    # All ports of the table, and one that is not in it.
+    ports = F.array(*[F.lit(p) for p in (22, 80, 443, 3306, 5432, 6379, 7000, 7001, 9042, 9142, 9160, 10000, 7199)])
+    port = F.get(ports, (F.col("l_orderkey") % 13).cast("int"))
     no_text = F.lit(None).cast("string")
     first_text = F.when(F.col("l_linestatus") == "O", F.col("l_shipdate").cast("date").cast("string"))
     permissions = table(spark, sf, "lineitem").select(

@@ -45,7 +45,7 @@ def keep_newest_n(spark: SparkSession, sf: str) -> DataFrame:
 @query("prune_beyond_n", f"SELECT id, group_key, creation_date, rn > 2 AS surplus FROM {RANKED}")
 def prune_beyond_n(spark: SparkSession, sf: str) -> DataFrame:
     marked = I.mark_surplus(images(spark, sf), 2)
-    return I.in_delete_order(marked.select("id", "group_key", "creation_date", "surplus"))
+    return marked.select("id", "group_key", "creation_date", "surplus")
 
 
 @query(

@@ -182,34 +182,47 @@ def log_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def step_logs(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation texts written as gzipped step logs and read back."""
+LAYOUT = r"([^/]+)/step=([^/]+)/log=(stdout|stderr)/part-[^/]*\.gz$"
+
+
+def step_logs(spark: SparkSession, sf: str, *logs: str) -> DataFrame:
+    """Conversation texts written as gzipped step logs, one file for each log in order of turns, and read back.
+
+    Every line begins with its conversation and turn.
+    """
     folder = scratch_path(spark, "step-logs")
+    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n"))
     turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") % 100).alias("step"),
         F.when(F.col("role") == "user", "stdout").otherwise("stderr").alias("log"),
-        F.col("text").alias("value"),
+        "conv_id",
+        "turn",
+        name.alias("name"),
+        line.alias("line"),
     )
-    turns.hint("rebalance", "step", "log").write.partitionBy("step", "log").option("compression", "gzip").text(folder)
-    return files.step_logs(spark, folder, r"([^/]+)/step=([^/]+)/log=(stdout|stderr)/part-[^/]*\.gz$")
+    sorted_turns = turns.repartition("step", "log").sortWithinPartitions("step", "log", "conv_id", "turn")
+    lines = sorted_turns.select("step", "log", F.concat_ws(" ", "name", "line").alias("value"))
+    lines.write.partitionBy("step", "log").option("compression", "gzip").text(folder)
+    return files.step_logs(spark, folder, LAYOUT, logs or ("stdout", "stderr"))
+
+
+STEP_LINES = """(SELECT (conv_id % 100)::varchar AS step_id, CASE role WHEN 'user' THEN 'stdout' ELSE 'stderr' END AS log,
+    conv_id, turn, conv_id || ':' || turn || ' ' || unnest(string_split(coalesce(text, ''), chr(10))) AS line
+    FROM conversations)"""
 
 
 @query(
     "step_log_tail",
-    """SELECT step_id, least(n_lines, 10) AS n_lines FROM (
-         SELECT (conv_id % 100)::varchar AS step_id, count(*) AS n_lines
-         FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE role <> 'user')
-         GROUP BY 1)""",
+    f"""SELECT step_id, conv_id || ':' || turn AS line_of, count(*) AS n_lines FROM (
+         SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY conv_id DESC, turn DESC) AS n
+         FROM {STEP_LINES} WHERE log = 'stderr') WHERE n <= 10 GROUP BY 1, 2""",
 )
 def step_log_tail(spark: SparkSession, sf: str) -> DataFrame:
-    last = files.step_log_tail(step_logs(spark, sf), 10)
-    return last.groupBy("step_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    last = files.step_log_tail(step_logs(spark, sf, "stderr"), 10)
+    return last.groupBy("step_id", F.substring_index("line", " ", 1).alias("line_of")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query(
-    "step_log_scan",
-    """SELECT (conv_id % 100)::varchar AS step_id, CASE role WHEN 'user' THEN 'stdout' ELSE 'stderr' END AS log, count(*) AS n_lines
-       FROM (SELECT conv_id, role, unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY 1, 2""",
-)
+@query("step_log_scan", f"SELECT step_id, log, line FROM {STEP_LINES}")
 def step_log_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return step_logs(spark, sf).groupBy("step_id", "log").agg(F.count(F.lit(1)).alias("n_lines"))
+    return step_logs(spark, sf).select("step_id", "log", "line")

@@ -87,9 +87,17 @@ def path_include_exclude(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "file_manifest",
+    """SELECT 'lang=' || lang AS folder, sum(octet_length(encode(text)) + 1)::bigint AS n_bytes FROM documents
+       WHERE lang IS NOT NULL GROUP BY 1""",
 )
 def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return files.manifest(spark, sf, "*.parquet").select("relative_path", "size")
+    """Documents stored as plain text by language; the listing gives the bytes of each folder."""
+    folder = scratch_path(spark, "texts")
+    texts = table(spark, sf, "documents").where(F.col("lang").isNotNull()).select("lang", "text")
+    texts.hint("rebalance", "lang").write.partitionBy("lang").text(folder)
+    listed = files.manifest(spark, folder, "part-*")
+    top = F.substring_index("relative_path", "/", 1).alias("folder")
+    return listed.groupBy(top).agg(F.sum("size").alias("n_bytes"))
 
 
 @query("sink_truncate_load", FREQUENCIES)

@@ -16,7 +16,7 @@ from labspark.streaming import metrics as SM
 from labspark.streaming.batches import appended, newest_update, stored
 from labspark.workload.logs import BODY, PARSED, log_records
 from labspark.workload.metrics import INCREASES, SAMPLES, SERIES
-from labspark.workload.registry import query, table
+from labspark.workload.registry import query
 
 DAY = timedelta(days=1)
 SAMPLE_SCHEMA = T.StructType(
@@ -31,8 +31,7 @@ SAMPLE_SCHEMA = T.StructType(
 
 
 def sample_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    rows = SM.sample_stream(spark, sf, schema, "events.parquet")
+    rows = SM.table_stream(spark, f"{sf}/events.parquet")
     return rows.select(
         F.col("event_type").alias("metric"),
         F.col("user_id").alias("host"),

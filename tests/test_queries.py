@@ -9,8 +9,7 @@ import __spark_entry__ as entry
 from check import TABLES, rows_of, same_type
 from labspark.workload import ORACLES, QUERIES
 
-# These read the folder or have no fixed answer in SQL.
-ROWS_ONLY = {"file_manifest"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")

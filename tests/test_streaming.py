@@ -14,6 +14,7 @@ from labspark.streaming import events as SE
 from labspark.streaming import logs as SL
 from labspark.streaming import metrics as SM
 from labspark.streaming.batches import appended, newest_update, store_batch, stored
+from labspark.workload import QUERIES
 
 START = datetime(2024, 1, 1)
 SCHEMA = "metric string, host string, sample_id bigint, ts timestamp_ntz, value double"
@@ -182,3 +183,19 @@ def test_a_stream_that_dies_after_writing_goes_on_without_doubles(spark, tmp_pat
     got = [(r["sample_id"], r["increase"]) for r in stored(spark, out, full).collect()]
     want = M.counter_increase(spark.createDataFrame(rows, SCHEMA), SERIES, tie="sample_id").collect()
     assert sorted(got) == sorted((r["sample_id"], r["increase"]) for r in want)
+
+
+STREAM_QUERIES = ["metric_ingest_stream", "stream_gauge_step", "stream_counter_rate", "stream_event_route", "stream_fanout"]
+
+
+@pytest.mark.parametrize("name", STREAM_QUERIES)
+def test_a_table_may_be_a_folder(spark, sf, tmp_path, name):
+    """The same rows from one file and from a folder of part files."""
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    one, many = (sorted(map(str, QUERIES[name](spark, place).collect())) for place in (sf, str(tmp_path)))
+    assert one == many and one
+
+
+def test_a_missing_table_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="does not exist"):
+        SM.table_stream(spark, f"{tmp_path}/none.parquet")
