@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.functions.labels import tag_value, tags_to_map
-from labspark.plans.hotgroups import PART, part_groups
+from labspark.plans.numbering import PAGE, paged
 from labspark.plans.topn import first_n
 
 # Server types in lookup order, with the tag text of each.
 SERVER_TYPES = {"Cassandra": "db", "Stress": "app", "Control": "control"}
 DEFAULT_CLUSTER_NAME = "recovered-cluster"
 
-HOSTS_PER_DOCUMENT = 10_000
+#: Hosts of one page of a list, so that a row stays small however large its cluster is.
+HOSTS_PER_PAGE = 10_000
 
 
 def flatten_reservations(df: DataFrame, instances: str = "instances") -> DataFrame:
@@ -155,14 +156,14 @@ def resolve_alias(df: DataFrame, alias: str, server_type: str, tie: str) -> Data
 
 
 def contact_points(
-    df: DataFrame, cluster: str, alias: str, address: str, max_rows: int = HOSTS_PER_DOCUMENT
+    df: DataFrame, cluster: str, alias: str, address: str, page_length: int = HOSTS_PER_PAGE
 ) -> DataFrame:
-    """Addresses of each cluster in alias order as one comma-separated text.
+    """Addresses of each cluster in alias order, comma-separated, in pages of ``page_length`` hosts.
 
-    A cluster of more than ``max_rows`` hosts gives several texts, told apart by ``part``.
+    Pages follow the order, so joining a cluster's texts by ``page`` gives the whole list whatever the length of a page.
     """
-    return part_groups(df, [cluster], alias, max_rows).groupBy(cluster, PART).agg(
-        F.expr(f"listagg(`{address}`, ',') WITHIN GROUP (ORDER BY `{alias}`)").alias("contact_points"),
+    return paged(df, [cluster], [alias, address], page_length).groupBy(cluster, PAGE).agg(
+        F.expr(f"listagg(`{address}`, ',') WITHIN GROUP (ORDER BY position)").alias("contact_points"),
         F.count(F.lit(1)).alias("n_hosts"),
     )
 
@@ -173,20 +174,20 @@ def state_documents(
     server_type: str,
     fields: Sequence[str],
     alias: str = "alias",
-    max_rows: int = HOSTS_PER_DOCUMENT,
+    page_length: int = HOSTS_PER_PAGE,
 ) -> DataFrame:
-    """Hosts as one nested row per cluster: a map of server type to hosts in alias order.
+    """Hosts as a nested row per cluster: a map of server type to hosts in alias order, in pages of ``page_length`` hosts.
 
-    A cluster of more than ``max_rows`` hosts is spread over several documents, told apart by ``part``.
+    Pages follow server type and alias, so appending a cluster's lists by ``page`` gives the whole map.
     """
     host = F.struct(alias, *[f for f in fields if f != alias])
     lists = (
-        part_groups(hosts, [cluster], alias, max_rows)
-        .groupBy(cluster, PART, server_type)
+        paged(hosts, [cluster], [server_type, alias, *[f for f in fields if f != alias]], page_length)
+        .groupBy(cluster, PAGE, server_type)
         .agg(F.sort_array(F.collect_list(host)).alias("_hosts"))
     )
     by_type = F.sort_array(F.collect_list(F.struct(F.col(server_type).alias("key"), F.col("_hosts").alias("value"))))
-    return lists.groupBy(cluster, PART).agg(F.map_from_entries(by_type).alias("hosts"))
+    return lists.groupBy(cluster, PAGE).agg(F.map_from_entries(by_type).alias("hosts"))
 
 
 def rebuild_state(networks: DataFrame, documents: DataFrame, tags: str = "tags") -> DataFrame:

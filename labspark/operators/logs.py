@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labspark.plans.hotgroups import TARGET_ROWS, running_number
+from labspark.plans.numbering import numbered
 from labspark.plans.topn import first_n
 
 COMMENT_LINE = "^\\s*#[^:]*$"
@@ -126,11 +126,10 @@ def progress(
     order: Sequence[str],
     every: int = FRAMES_PER_MESSAGE,
     text: str = PROGRESS_TEXT,
-    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Every ``every``-th frame of a run, with the running count and a message; other frames are dropped."""
-    numbered = running_number(df, run, order, "frame_count", target_rows)
-    return numbered.where(F.col("frame_count") % every == 0).withColumn(
+    counted = numbered(df, run, order, "frame_count")
+    return counted.where(F.col("frame_count") % every == 0).withColumn(
         "message", F.format_string(text, F.col("frame_count"))
     )
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.plans.hotgroups import PART, part_groups
-
 # The targets that a backup always checks.
 BACKUP_TARGETS = (
     "KUBECONFIG",
@@ -18,7 +16,7 @@ BACKUP_TARGETS = (
     "SETUP_INSTANCE_SCRIPT",
 )
 
-FILES_PER_DIGEST = 1_000_000
+BUCKET_DIGITS = 3
 
 
 def content_hash(content: Column) -> Column:
@@ -44,13 +42,21 @@ def changed_since(current: DataFrame, stored: DataFrame, key: str = "target", ha
     return current.join(known, key, "left").select(*current.columns, action.alias("action"))
 
 
+def all_targets(current: DataFrame, targets: DataFrame, key: str = "target") -> DataFrame:
+    """A row for each of ``targets``: those without a row of ``current`` have nulls, and so are absent."""
+    return targets.select(key).distinct().join(current, key, "left")
+
+
 def updated_hashes(changes: DataFrame, key: str = "target", hashed: str = "hash") -> DataFrame:
     """The hashes to store: those of uploaded rows."""
     return changes.where(F.col("action") == "upload").select(key, hashed)
 
 
 def backup_summary(changes: DataFrame, *by: str) -> DataFrame:
-    """Counts of checked, uploaded and skipped targets; absent targets count as checked."""
+    """Counts of checked, uploaded and skipped targets; absent targets count as checked.
+
+    Targets without any row are added beforehand, by ``all_targets``.
+    """
     return changes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("checked"),
         F.count_if(F.col("action") == "upload").alias("uploaded"),
@@ -64,24 +70,30 @@ def directory_totals(df: DataFrame, directory: str, size: str) -> DataFrame:
     )
 
 
-def directory_digest(
-    df: DataFrame, directory: str, path: str, hashed: str = "hash", max_files: int = FILES_PER_DIGEST
-) -> DataFrame:
-    """One digest per directory: SHA-256 over path and hash of its files in path order, without separators.
+def directory_digest(df: DataFrame, directory: str, path: str, hashed: str = "hash") -> DataFrame:
+    """One digest per directory of any size, and its number of files.
 
-    SHA-256 of one text cannot be computed in pieces. A directory of more than ``max_files`` files is therefore divided
-    by a hash of the path, and its digest is that of its parts' digests in part order: any change still changes it.
+    Files fall into 4096 buckets by the first three hex digits of the SHA-256 of their path. A bucket's digest is SHA-256
+    over path and hash of its files in path order; the directory's is SHA-256 over name and digest of its buckets in
+    order. Any change of a path or a hash changes it.
     """
-    entry = f"concat(`{path}`, coalesce(`{hashed}`, ''))"
-    parts = part_groups(df, [directory], path, max_files).groupBy(directory, PART).agg(
-        F.sha2(F.expr(f"listagg({entry}, '') WITHIN GROUP (ORDER BY `{path}`)"), 256).alias("_digest"),
-        F.count(F.lit(1)).alias("_files"),
+    bucket = F.substring(F.sha2(F.col(path), 256), 1, BUCKET_DIGITS)
+    parts = df.withColumn("_bucket", bucket).groupBy(directory, "_bucket").agg(
+        F.sha2(_entries(path, hashed), 256).alias("_digest"), F.count(F.lit(1)).alias("_files")
     )
-    digests = F.transform(F.sort_array(F.collect_list(F.struct(PART, "_digest"))), lambda p: p["_digest"])
-    return parts.groupBy(directory).agg(digests.alias("_digests"), F.sum("_files").alias("n_files")).select(
-        directory,
-        F.when(F.size("_digests") == 1, F.get("_digests", F.lit(0)))
-        .otherwise(F.sha2(F.array_join("_digests", ""), 256))
-        .alias("digest"),
-        "n_files",
+    of_buckets = F.expr("listagg(concat(_bucket, _digest), '') WITHIN GROUP (ORDER BY _bucket)")
+    return parts.groupBy(directory).agg(F.sha2(of_buckets, 256).alias("digest"), F.sum("_files").alias("n_files"))
+
+
+def small_directory_digest(df: DataFrame, directory: str, path: str, hashed: str = "hash") -> DataFrame:
+    """SHA-256 over path and hash of a directory's files in path order, without separators.
+
+    The text to digest is formed in one task: for directories known to be small, such as a cluster's manifests.
+    """
+    return df.groupBy(directory).agg(
+        F.sha2(_entries(path, hashed), 256).alias("digest"), F.count(F.lit(1)).alias("n_files")
     )
+
+
+def _entries(path: str, hashed: str) -> Column:
+    return F.expr(f"listagg(concat(`{path}`, coalesce(`{hashed}`, '')), '') WITHIN GROUP (ORDER BY `{path}`)")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.plans.hotgroups import PART, part_groups
+from labspark.plans.numbering import PAGE, paged
 
 # Texts for well-known ports.
 PORT_TEXTS = {
@@ -26,7 +26,8 @@ PORT_TEXTS = {
     10000: "Cassandra JMX",
 }
 ROUTE_TABLE = "route_table"
-IDS_PER_ROW = 10_000
+#: Subnets of one page of a network's list.
+IDS_PER_PAGE = 10_000
 RULE = ["from_port", "to_port", "protocol", "cidr"]
 
 
@@ -98,21 +99,33 @@ def missing_rules(wanted: DataFrame, existing: DataFrame, columns: Sequence[str]
     return wanted.join(present, same, "left_anti")
 
 
-def infrastructure(resources: DataFrame, max_rows: int = IDS_PER_ROW) -> DataFrame:
-    """Per network its subnets as a list, and the first security group and internet gateway.
+def infrastructure(resources: DataFrame, page_length: int = IDS_PER_PAGE) -> DataFrame:
+    """Per network its subnets in order, and the first security group and internet gateway of the whole network.
 
-    A network with more than ``max_rows`` resources gives several rows, told apart by ``part``.
+    The list comes in pages of ``page_length`` subnets, told apart by ``page``; every page has the same first group and
+    gateway. A network without subnets has one page, an empty one.
     """
 
     def of(kind: str) -> Column:
         return F.when(F.col("resource_type") == kind, F.col("resource_id"))
 
-    parts = part_groups(resources, ["vpc_id"], "resource_id", max_rows)
-    return parts.groupBy("vpc_id", PART).agg(
-        F.sort_array(F.collect_list(of("subnet"))).alias("subnet_ids"),
+    firsts = resources.groupBy("vpc_id").agg(
         F.min(of("security_group")).alias("security_group_id"),
         F.min(of("internet_gateway")).alias("internet_gateway_id"),
     )
+    subnets = resources.where(F.col("resource_type") == "subnet").select(F.col("vpc_id").alias("_network"), "resource_id")
+    pages = (
+        paged(subnets, ["_network"], ["resource_id"], page_length)
+        .groupBy("_network", PAGE)
+        .agg(F.sort_array(F.collect_list("resource_id")).alias("subnet_ids"))
+    )
+    return firsts.join(pages, F.col("vpc_id").eqNullSafe(F.col("_network")), "left").select(
+        "vpc_id",
+        F.coalesce(PAGE, F.lit(0).cast("bigint")).alias(PAGE),
+        F.coalesce("subnet_ids", F.array().cast("array<string>")).alias("subnet_ids"),
+        "security_group_id",
+        "internet_gateway_id",
+    )
 
 
 def without_default(df: DataFrame, name: str, include_default: bool = False, default: str = "default") -> DataFrame:

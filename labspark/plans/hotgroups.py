@@ -27,7 +27,6 @@ MAX_PARTS = 1 << 15  # four levels of slice numbers fit one bigint
 
 SLICE = "_slice"
 SEED = "_seed"
-PART = "part"
 
 
 def micros(df: DataFrame, column: str) -> Column:
@@ -215,16 +214,6 @@ def running_number(
     return numbered.unionByName(sliced.select(*columns))
 
 
-def part_groups(df: DataFrame, keys: Sequence[str], spread: str, max_rows: int) -> DataFrame:
-    """Add ``part``: groups above ``max_rows`` rows are divided by a hash of ``spread``, all others are part 0."""
-    groups = measured(largest_groups(df, keys, F.col("_n") > max_rows))
-    if groups is None:
-        return df.withColumn(PART, F.lit(0).cast("bigint"))
-    parts = F.ceil(F.col("_n") / F.lit(max_rows)).cast("bigint")
-    part = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), parts))
-    return _join_hot(df, groups, keys, "left").select(*df.columns, part.cast("bigint").alias(PART))
-
-
 def join_unique(
     left: DataFrame, right: DataFrame, keys: Sequence[str], max_rows: int = TARGET_ROWS, null_safe: bool = False
 ) -> DataFrame:

@@ -189,23 +189,26 @@ def hosts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "state_document",
-    f"""SELECT cluster_id, 0::bigint AS part,
+    f"""SELECT cluster_id, page,
           to_json({{'clusterId': cluster_id, 'hosts': map_from_entries(list((server_type, hosts) ORDER BY server_type))}})::varchar
             AS document
-        FROM (SELECT cluster_id, server_type,
+        FROM (SELECT cluster_id, page, server_type,
                      list({{'alias': alias, 'instance_id': instance_id}} ORDER BY alias) AS hosts
-              FROM {HOSTS} GROUP BY 1, 2) GROUP BY 1""",
+              FROM (SELECT *, (row_number() OVER (PARTITION BY cluster_id ORDER BY server_type, alias) - 1) // 10000 AS page
+                    FROM {HOSTS}) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
 )
 def state_document(spark: SparkSession, sf: str) -> DataFrame:
     documents = H.state_documents(hosts(spark, sf), "cluster_id", "server_type", ["alias", "instance_id"])
     document = F.to_json(F.struct(F.col("cluster_id").alias("clusterId"), "hosts"))
-    return documents.select("cluster_id", "part", document.alias("document"))
+    return documents.select("cluster_id", "page", document.alias("document"))
 
 
 @query(
     "contact_points",
-    f"""SELECT cluster_id, 0::bigint AS part, string_agg(instance_id::varchar, ',' ORDER BY alias) AS contact_points,
-               count(*) AS n_hosts FROM {HOSTS} GROUP BY 1""",
+    f"""SELECT cluster_id, (n - 1) // 10000 AS page, string_agg(instance_id::varchar, ',' ORDER BY n) AS contact_points,
+               count(*) AS n_hosts
+        FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY alias, instance_id::varchar) AS n FROM {HOSTS})
+        GROUP BY 1, 2""",
 )
 def contact_points(spark: SparkSession, sf: str) -> DataFrame:
     addressed = hosts(spark, sf).withColumn("address", F.col("instance_id").cast("string"))
@@ -373,7 +376,7 @@ def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "network_infrastructure",
-    """SELECT n_nationkey::varchar AS vpc_id, 0::bigint AS part,
+    """SELECT n_nationkey::varchar AS vpc_id, 0::bigint AS page,
               coalesce((SELECT string_agg(s_suppkey::varchar, ',' ORDER BY s_suppkey::varchar) FROM supplier
                         WHERE s_nationkey = n_nationkey), '') AS subnet_ids,
               (SELECT min(c_custkey::varchar) FROM customer WHERE c_nationkey = n_nationkey) AS security_group_id,

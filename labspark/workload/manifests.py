@@ -62,8 +62,11 @@ def dir_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dir_digest",
-    """SELECT lang, sha256(string_agg(path || hash, '' ORDER BY path)) AS digest, count(*) AS n_files
-       FROM (SELECT lang, source || '/' || doc_id AS path, sha256(text) AS hash FROM documents) GROUP BY 1""",
+    """SELECT lang, sha256(string_agg(bucket || digest, '' ORDER BY bucket)) AS digest, sum(n)::bigint AS n_files
+       FROM (SELECT lang, bucket, sha256(string_agg(path || hash, '' ORDER BY path)) AS digest, count(*) AS n
+             FROM (SELECT *, substr(sha256(path), 1, 3) AS bucket
+                   FROM (SELECT lang, source || '/' || doc_id AS path, sha256(text) AS hash FROM documents))
+             GROUP BY 1, 2) GROUP BY 1""",
 )
 def dir_digest(spark: SparkSession, sf: str) -> DataFrame:
     hashed = table(spark, sf, "documents").select(

@@ -45,26 +45,39 @@ def test_content_hash(spark):
     assert [r[0] for r in df.select(M.content_hash(F.col("content"))).collect()] == [sha(KUBE), None]
 
 
-def digests(spark, rows, max_files=1_000_000):
+def digests(spark, rows, digest=M.directory_digest):
     df = spark.createDataFrame(rows, "dir string, path string, hash string")
-    return {r["dir"]: r["digest"] for r in M.directory_digest(df, "dir", "path", max_files=max_files).collect()}
+    return {r["dir"]: r["digest"] for r in digest(df, "dir", "path").collect()}
 
 
-def test_directory_digest_follows_path_order(spark):
+def test_small_directory_digest_follows_path_order(spark):
     rows = [("k8s", "b/2.yaml", sha("two")), ("k8s", "a.yaml", sha("one")), ("k8s", "b/1.yaml", None)]
     want = sha("a.yaml" + sha("one") + "b/1.yaml" + "b/2.yaml" + sha("two"))
-    assert digests(spark, rows) == {"k8s": want}
-    assert digests(spark, list(reversed(rows))) == {"k8s": want}
-
-
-def test_large_directories_are_digested_in_parts(spark):
-    rows = [("big", f"f{i}", sha(str(i))) for i in range(50)] + [("small", "x", sha("x"))]
-    whole, parts = digests(spark, rows), digests(spark, rows, max_files=10)
-    assert parts["small"] == whole["small"] == sha("x" + sha("x"))
-    assert parts["big"] != whole["big"]
-    assert parts == digests(spark, rows[::-1], max_files=10)
-    changed = [("big", "f7", sha("other")) if r[1] == "f7" else r for r in rows]
-    assert digests(spark, changed, max_files=10)["big"] != parts["big"]
+    assert digests(spark, rows, M.small_directory_digest) == {"k8s": want}
+    assert digests(spark, list(reversed(rows)), M.small_directory_digest) == {"k8s": want}
+
+
+def test_directory_digest_is_one_function_for_every_size(spark):
+    def plain(rows):
+        buckets = {}
+        for _, path, hashed in sorted(rows):
+            buckets.setdefault(sha(path)[:3], []).append(path + (hashed or ""))
+        return sha("".join(name + sha("".join(files)) for name, files in sorted(buckets.items())))
+
+    big = [("big", f"f{i}", sha(str(i))) for i in range(300)] + [("big", "none", None)]
+    small = [("small", "x", sha("x"))]
+    found = digests(spark, big + small)
+    assert found == {"big": plain(big), "small": plain(small)} == digests(spark, (big + small)[::-1])
+    changed = [("big", "f7", sha("other")) if r[1] == "f7" else r for r in big]
+    assert digests(spark, changed)["big"] != found["big"]
+
+
+def test_every_target_is_checked(spark):
+    targets = spark.createDataFrame([(t,) for t in M.BACKUP_TARGETS], "target string")
+    current = spark.createDataFrame([(M.BACKUP_TARGETS[0], sha("a"))], "target string, hash string")
+    none = spark.createDataFrame([], "target string, hash string")
+    summary = M.backup_summary(M.changed_since(M.all_targets(current, targets), none)).first()
+    assert tuple(summary) == (len(M.BACKUP_TARGETS), 1, 0)
 
 
 def test_relative_paths_need_the_whole_prefix(spark):

@@ -125,18 +125,18 @@ def test_alias_lookup_prefers_the_first_type(spark):
     assert found == {"x": "i-4", "y": "i-3"}
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 3])
-def test_documents_and_contact_points_hold_every_host(spark, max_rows):
+@pytest.mark.parametrize("length", [10_000, 3])
+def test_documents_and_contact_points_hold_every_host(spark, length):
     rows = [("big", "db" if i % 2 else "app", f"h{i:02d}", f"10.0.0.{i}") for i in range(20)] + [("small", "db", "z", "1.1.1.1")]
     df = spark.createDataFrame(rows, "cluster string, server_type string, alias string, ip string")
-    points = H.contact_points(df, "cluster", "alias", "ip", max_rows).collect()
-    flat = [ip for r in points for ip in r["contact_points"].split(",")]
-    assert sorted(flat) == sorted(r[3] for r in rows)
-    big = [r for r in points if r["cluster"] == "big"]
-    assert (len(big) > 1) == (max_rows == 3)
-    if max_rows > 3:
-        assert big[0]["contact_points"] == ",".join(f"10.0.0.{i}" for i in range(20))
-    documents = H.state_documents(df, "cluster", "server_type", ["alias", "ip"], max_rows=max_rows).collect()
+    points = H.contact_points(df, "cluster", "alias", "ip", length).orderBy("cluster", "page").collect()
+    # Pages joined by number are the same text for every length.
+    assert ",".join(r["contact_points"] for r in points if r["cluster"] == "big") == ",".join(f"10.0.0.{i}" for i in range(20))
+    assert [r["contact_points"] for r in points if r["cluster"] == "small"] == ["1.1.1.1"]
+    assert {r["n_hosts"] for r in points if r["cluster"] == "big"} == ({20} if length > 20 else {3, 2})
+    documents = H.state_documents(df, "cluster", "server_type", ["alias", "ip"], page_length=length).orderBy("page").collect()
+    joined = [h["alias"] for r in documents if r["cluster"] == "big" for h in r["hosts"].get("db", [])]
+    assert joined == [f"h{i:02d}" for i in range(20) if i % 2]
     hosts = [(r["cluster"], kind, h["alias"], h["ip"]) for r in documents for kind, list_ in r["hosts"].items() for h in list_]
     assert sorted(hosts) == sorted(rows)
     for r in documents:
@@ -146,9 +146,9 @@ def test_documents_and_contact_points_hold_every_host(spark, max_rows):
 
 def test_state_from_network_tags(spark):
     schema = "vpc_id string, tags array<struct<key: string, value: string>>"
-    documents = spark.createDataFrame([Row(cluster_id="abc", part=0)])
+    documents = spark.createDataFrame([Row(cluster_id="abc", page=0)])
     good = spark.createDataFrame([("vpc-1", [("ClusterId", "abc")]), ("vpc-2", [("ClusterId", "d"), ("Name", "lab")])], schema)
-    found = {r["vpc_id"]: (r["name"], r["part"]) for r in H.rebuild_state(good, documents).collect()}
+    found = {r["vpc_id"]: (r["name"], r["page"]) for r in H.rebuild_state(good, documents).collect()}
     assert found == {"vpc-1": ("recovered-cluster", 0), "vpc-2": ("lab", None)}
     bad = spark.createDataFrame([("vpc-3", [("Name", "lab")])], schema)
     with pytest.raises(Exception, match="no ClusterId tag on vpc-3"):
@@ -215,11 +215,13 @@ def test_exclusions_and_first_tagged(spark):
     assert R.first_with_tag(named, "name", "lab-", F.col("ok")).first()["name"] == "lab-b"
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 2])
-def test_infrastructure_of_a_network(spark, max_rows):
+@pytest.mark.parametrize("length", [10_000, 2])
+def test_infrastructure_of_a_network(spark, length):
     rows = [("v", "subnet", f"s{i}") for i in range(9)] + [("v", "security_group", "g2"), ("v", "security_group", "g1")]
+    rows.append(("w", "internet_gateway", "gw"))
     df = spark.createDataFrame(rows, "vpc_id string, resource_type string, resource_id string")
-    found = R.infrastructure(df, max_rows).collect()
-    assert sorted(s for r in found for s in r["subnet_ids"]) == [f"s{i}" for i in range(9)]
-    assert min(r["security_group_id"] for r in found if r["security_group_id"]) == "g1"
-    assert {r["internet_gateway_id"] for r in found} == {None}
+    found = R.infrastructure(df, length).where("vpc_id = 'v'").orderBy("page").collect()
+    assert [s for r in found for s in r["subnet_ids"]] == [f"s{i}" for i in range(9)]
+    assert {(r["security_group_id"], r["internet_gateway_id"]) for r in found} == {("g1", None)}
+    bare = R.infrastructure(df, length).where("vpc_id = 'w'").collect()
+    assert [tuple(r) for r in bare] == [("w", 0, [], None, "gw")]

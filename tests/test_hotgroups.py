@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labspark.plans import hotgroups as H
+from labspark.plans.numbering import numbered
 from labspark.plans import topn
 
 SCHEMA = "g string, at timestamp, id bigint"
@@ -70,14 +71,6 @@ def test_join_unique_equals_a_left_join(spark, null_safe, max_rows):
     assert sorted((r["id"], r["v"]) for r in joined.collect()) == sorted((i, want.get(g)) for g, _, i in data)
 
 
-def test_parts_are_bounded_and_whole(spark):
-    data = rows()
-    parted = H.part_groups(spark.createDataFrame(data, SCHEMA), ["g"], "id", 50).collect()
-    assert sorted(r["id"] for r in parted) == list(range(len(data)))
-    assert {r["part"] for r in parted if r["g"] not in ("hot", None)} == {0}
-    assert len({r["part"] for r in parted if r["g"] == "hot"}) > 3
-
-
 @pytest.mark.parametrize("n", [3, 60])
 def test_first_n_with_and_without_spreading(spark, n, monkeypatch):
     monkeypatch.setattr(topn, "EARLY_CUT", 10)
@@ -131,3 +124,21 @@ def test_micros_do_not_depend_on_the_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert df.select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "40"])
+def test_numbers_do_not_depend_on_group_size(spark, partitions):
+    """Many large groups, text orders that share a long prefix, null groups and ties: one way for all."""
+    rows = [(f"g{i % 30}" if i % 3 else "hot", f"2024-01-01T00:00:{i * 7 % 1000:06d}", i) for i in range(3000)]
+    rows += [(None, None, 3000), (None, "a", 3001), ("alone", None, 3002)]
+    df = spark.createDataFrame(rows, "g string, at string, id long")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = {r["id"]: r["n"] for r in numbered(df, ["g"], ["at", "id"], "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = {}
+    for group in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == group), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        want |= {r[2]: i + 1 for i, r in enumerate(mine)}
+    assert found == want

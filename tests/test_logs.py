@@ -90,11 +90,10 @@ def test_tail_has_the_last_lines(spark):
     assert sorted((r["file"], r["line_no"]) for r in rows) == [(f, n) for f in "ab" for n in (7, 8, 9)]
 
 
-@pytest.mark.parametrize("target_rows", [1_000_000, 70, 5])
-def test_progress_counts_per_run(spark, target_rows):
+def test_progress_counts_per_run(spark):
     rows = [("long", i * i % 1009 * 1000 + i) for i in range(700)] + [("short", i) for i in range(99)] + [("even", i) for i in range(100)]
     df = spark.createDataFrame(rows, "run_id string, seq bigint")
-    found = L.progress(df, ["run_id"], ["seq"], target_rows=target_rows).collect()
+    found = L.progress(df, ["run_id"], ["seq"]).collect()
     long_run = sorted(s for r, s in rows if r == "long")
     want = {("long", long_run[n - 1], n) for n in range(100, 701, 100)} | {("even", 99, 100)}
     assert {(r["run_id"], r["seq"], r["frame_count"]) for r in found} == want
