@@ -17,10 +17,15 @@ from labspark.session import scratch_path
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Bytes of texts that a Python worker gets at once, at most, unless one text alone has more.
+BATCH_BYTES = 8 << 20
+
+
 def importable(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """``fn`` of a session, with this package on the path of Python workers that see the driver's folders.
 
-    Workers on other machines get it as Spark distributes it, by ``--py-files`` or their own installation.
+    Workers on other machines get it as Spark distributes it, by ``--py-files`` or their own installation. The session's
+    Arrow batches are limited to ``BATCH_BYTES``, as batches of some thousand long texts would fill a worker's memory.
     """
 
     @functools.wraps(fn)
@@ -30,6 +35,7 @@ def importable(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         path = environment.get("PYTHONPATH", "")
         if root not in path.split(os.pathsep):
             environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, path)))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return fn(spark, *rest)
 
     return wrapped

@@ -27,7 +27,7 @@ RATE = 0.5
 THRESHOLD = 0.7
 #: The bucket that every document has so many times: empty ones have a score too, and a few odd words decide little.
 ALWAYS, TIMES = 0, 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x5851F42D4C957F2D)
 BLANK = np.zeros(256, bool)
@@ -210,7 +210,8 @@ def score(model: Model, text_column: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(["" if t is None else t for t in texts]))
+        parts = (texts.iloc[i : i + 256].tolist() for i in range(0, len(texts), 256))
+        return pd.Series(np.concatenate([model.score(p) for p in parts] or [np.empty(0)]))
 
     return of(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
 

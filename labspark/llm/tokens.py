@@ -25,8 +25,8 @@ WORD_END = "</w>"
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 KEY_BYTES = 24
-SLOT_BITS = 21
-CHUNK_CHARS = 1 << 21
+SLOT_BITS = 20
+CHUNK_CHARS = 1 << 19
 APOSTROPHE = ord("'")
 
 
@@ -281,7 +281,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batch: pa.RecordBatch, column: str, path: str, end_id: int, piece: int = 512) -> Iterator[np.ndarray]:
+def encoded(batch: pa.RecordBatch, column: str, path: str, end_id: int, piece: int = 256) -> Iterator[np.ndarray]:
     """The ids of each text of a batch, with ``end_id`` behind; a few texts at a time are held."""
     end = np.array([end_id])
     coder = encoder(path)
