@@ -8,6 +8,7 @@ for each bucket, and scoring whole texts is one pass of table look-ups.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -192,7 +193,8 @@ def fit(
     ]
     found = rows.column("label").to_numpy()
     # The same order whatever task came first.
-    place = sorted(range(len(found)), key=lambda i: (rows.column("id")[i].as_py(), found[i], bags_of[i][0].tobytes()))
+    names = rows.column("id").to_pylist()
+    place = sorted(range(len(found)), key=lambda i: (names[i], found[i], zlib.crc32(bags_of[i][0]), zlib.crc32(bags_of[i][1])))
     found = found[place]
     all_rows = sum(totals.values())
     share = {c: totals.get(c, 0) / all_rows / max(1, (found == c).sum()) * len(found) for c in (0, 1)} if all_rows else {}
