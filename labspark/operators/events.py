@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from labspark.functions.text import event_message
 from labspark.operators.logs import FRAMES_PER_MESSAGE, PROGRESS_TEXT
-from labspark.plans.hotgroups import TARGET_ROWS, join_unique, running_number
+from labspark.plans.hotgroups import TARGET_ROWS, join_unique
+from labspark.plans.numbering import numbered
 
 # The kinds of output events.
 FRAME, MESSAGE, ERROR, CLOSE = "frame", "message", "error", "close"
@@ -39,7 +40,7 @@ def route_events(
         ~F.coalesce("_closed", F.lit(False)) & (F.col("_close").isNull() | (F.col("seq") <= F.col("_close")))
     )
     frames = open_events.where(F.col("event_type") == FRAME)
-    counted = running_number(frames.select("run_id", "seq", "_counted"), ["run_id"], ["seq"], "_number", target_rows)
+    counted = numbered(frames.select("run_id", "seq", "_counted"), ["run_id"], ["seq"], "_number")
     total = F.col("_number") + F.coalesce("_counted", F.lit(0))
     shown_frames = counted.where(total % every == 0).select(
         "run_id", "seq", F.lit(MESSAGE).alias("event_type"), F.format_string(text, total).alias("message")

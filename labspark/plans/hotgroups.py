@@ -3,9 +3,8 @@
 A window or an ordered fold needs all rows of its group in one task. These helpers first count the groups, then split
 only those that hold more rows than one task should take. Without such groups the plan stays what it would have been.
 
-The list of hot groups is the one thing that reaches the driver or is broadcast here. It never exceeds
-``MAX_HOT_GROUPS`` rows whatever the input: it keeps the largest groups first, so a group left out holds less than
-``1 / MAX_HOT_GROUPS`` of all rows.
+The list of hot groups is the one thing that reaches the driver or is broadcast here, and only while it has at most
+``LISTED_GROUPS`` rows. A longer one is written to the shared folder and joined as any table; no hot group is left out.
 
 All splits are computed from exact counts, minima and maxima. Recomputing a lost partition gives the same split.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from labspark.session import scratch_path, shared_dir
 
 TARGET_ROWS = 1_000_000
-MAX_HOT_GROUPS = 10_000
+LISTED_GROUPS = 10_000
 BURST_PARTS = 1024
 MAX_PARTS = 1 << 15  # four levels of slice numbers fit one bigint
 
@@ -40,30 +39,30 @@ def micros(df: DataFrame, column: str) -> Column:
 
 
 def position(df: DataFrame, column: str) -> Column:
-    """A number that never falls as ``column`` rises: microseconds, days, the first bytes of a text, or the value."""
+    """A number that never falls as ``column`` rises: microseconds, days or the value. Texts have none.
+
+    Groups ordered by a text are numbered and paged by ``plans.numbering``.
+    """
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return micros(df, column).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.StringType):
-        head = F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+        raise TypeError(f"{column} is a text; slices need a time or a number")
     return F.col(column).cast("double")
 
 
 def largest_groups(df: DataFrame, keys: Sequence[str], keep: Column, *extra: Column) -> DataFrame:
-    """Groups that meet ``keep``, a condition on their row count ``_n`` and the ``extra`` aggregates.
-
-    The largest come first, at most ``MAX_HOT_GROUPS`` of them.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra).where(keep)
-    return counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_GROUPS)
+    """Groups that meet ``keep``, a condition on their row count ``_n`` and the ``extra`` aggregates."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra).where(keep)
 
 
 def measured(df: DataFrame) -> DataFrame | None:
-    """A bounded result, computed now and held as literal rows; None when it is empty."""
-    rows = df.toArrow()
+    """A result computed now: literal rows while it is short, else a stored table; None when it is empty."""
+    rows = df.limit(LISTED_GROUPS + 1).toArrow()
+    if rows.num_rows > LISTED_GROUPS:
+        return sized(df)
     return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows else None
 
 
@@ -83,7 +82,7 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join the bounded hot-group table, treating null keys as equal."""
+    """Join the hot-group table, treating null keys as equal. Spark broadcasts it by its size, known either way."""
     renamed = hot.select(
         *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)],
         *[c for c in hot.columns if c not in keys],
@@ -91,7 +90,7 @@ def _join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> D
     condition = F.lit(True)
     for i, key in enumerate(keys):
         condition = condition & F.col(key).eqNullSafe(F.col(f"_hot_{i}"))
-    return df.join(F.broadcast(renamed), condition, how)
+    return df.join(renamed, condition, how)
 
 
 def split_hot(
@@ -107,7 +106,7 @@ def split_hot(
 
     The hot rows carry ``_slice``, which rises with ``order``; they are None when no group is hot. Cutting is by equal
     width between the group's ends; each further level cuts again the slices that a burst has left too large. Rows equal
-    in ``order`` can only be cut along the ``tie``, when there is one. Of texts the first six bytes count.
+    in ``order`` can only be cut along the ``tie``, when there is one.
 
     ``hot_when`` names further groups to treat as hot, as a condition on their count ``_n`` and ends ``_lo``, ``_hi``.
     """
@@ -198,22 +197,6 @@ def seed_with_totals(
     return sliced.withColumn(SEED, F.lit(1)).unionByName(seeds, allowMissingColumns=True)
 
 
-def running_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, target_rows: int = TARGET_ROWS
-) -> DataFrame:
-    """Number the rows of each group from 1 in ``order``, without putting a hot group into one task."""
-    cold, hot = split_hot(df, keys, order[0], target_rows, tie=order[1] if len(order) > 1 else None)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    columns = [*df.columns, name]
-    numbered = cold.withColumn(name, number.cast("bigint")).select(*columns)
-    if hot is None:
-        return numbered
-    within = Window.partitionBy(*keys, SLICE).orderBy(SEED, *order).rowsBetween(Window.unboundedPreceding, 0)
-    seeded = seed_with_totals(hot.withColumn(name, F.lit(1).cast("bigint")), keys, before=[name])
-    sliced = seeded.withColumn(name, F.sum(name).over(within)).where(F.col(SEED) == 1)
-    return numbered.unionByName(sliced.select(*columns))
-
-
 def join_unique(
     left: DataFrame, right: DataFrame, keys: Sequence[str], max_rows: int = TARGET_ROWS, null_safe: bool = False
 ) -> DataFrame:
@@ -222,8 +205,8 @@ def join_unique(
     Spark splits hot keys of a join by itself, unless a step that follows wants the rows grouped by the same key or one
     side comes straight out of an aggregation. This is for those cases; it counts the left keys first.
 
-    The right rows of hot keys are at most ``MAX_HOT_GROUPS`` and are broadcast; all other keys are joined as usual, so
-    the right table itself may be of any size. ``null_safe`` lets null keys match.
+    The right rows of hot keys, one for each, are joined by their size; Spark broadcasts them while they are few. All other
+    keys are joined as usual, so the right table itself may be of any size. ``null_safe`` lets null keys match.
     """
     names = {key: f"_right_{i}" for i, key in enumerate(keys)}
     table = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
@@ -238,5 +221,5 @@ def join_unique(
     if groups is None:
         return joined(left, table)
     few = _join_hot(table, groups.withColumnsRenamed(names), list(names.values()), "left_semi")
-    hot = joined(_join_hot(left, groups, keys, "left_semi"), F.broadcast(few))
+    hot = joined(_join_hot(left, groups, keys, "left_semi"), sized(few))
     return hot.unionByName(joined(_join_hot(left, groups, keys, "left_anti"), table))

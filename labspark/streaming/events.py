@@ -27,10 +27,12 @@ def run_event_route(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         events = batch.select("run_id", "seq", "event_type", "message").persist()
-        runs = carried.before(batch.sparkSession, batch_id)
-        shown, after = route_events(events, runs, frames_per_message, text, target_rows)
-        store_batch(shown, out, batch_id)
-        carried.after(after, batch_id)
-        events.unpersist()
+        try:
+            runs = carried.before(batch.sparkSession, batch_id)
+            shown, after = route_events(events, runs, frames_per_message, text, target_rows)
+            store_batch(shown, out, batch_id)
+            carried.after(after, batch_id)
+        finally:
+            events.unpersist()
 
     return run(stream, on_batch, checkpoint, every)

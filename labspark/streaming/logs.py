@@ -42,8 +42,10 @@ def run_fan_out(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
-        for keep, path in sinks.values():
-            store_batch(rows.where(keep), path, batch_id)
-        rows.unpersist()
+        try:
+            for keep, path in sinks.values():
+                store_batch(rows.where(keep), path, batch_id)
+        finally:
+            rows.unpersist()
 
     return run(stream, on_batch, checkpoint, every)

@@ -128,11 +128,13 @@ def run_counter_increase(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*columns).persist()
-        last = carried.before(batch.sparkSession, batch_id)
-        increases, newest = counter_batch(rows, last, series, ts, value, tie, target_rows)
-        store_batch(increases, out, batch_id)
-        carried.after(newest, batch_id)
-        rows.unpersist()
+        try:
+            last = carried.before(batch.sparkSession, batch_id)
+            increases, newest = counter_batch(rows, last, series, ts, value, tie, target_rows)
+            store_batch(increases, out, batch_id)
+            carried.after(newest, batch_id)
+        finally:
+            rows.unpersist()
 
     return run(stream, on_batch, checkpoint, every)
 

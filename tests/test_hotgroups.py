@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labspark.plans import hotgroups as H
+from labspark.operators.metrics import counter_increase
 from labspark.plans.numbering import numbered
 from labspark.plans import topn
 
@@ -95,7 +96,7 @@ def test_numbering_along_any_kind_of_order(spark, kind):
     }[kind]
     data = [("g", values(), i) for i in range(200)]
     df = spark.createDataFrame(data, f"g string, at {kind}, id int")
-    found = H.running_number(df, ["g"], ["at", "id"], "n", target_rows=12).collect()
+    found = numbered(df, ["g"], ["at", "id"], "n").collect()
     key = (lambda v: v.encode()) if kind == "string" else (lambda v: v)
     nulls = sorted(r[2] for r in data if r[1] is None)
     rest = [r[2] for r in sorted((r for r in data if r[1] is not None), key=lambda r: (key(r[1]), r[2]))]
@@ -103,14 +104,17 @@ def test_numbering_along_any_kind_of_order(spark, kind):
     assert [r["n"] for r in sorted(found, key=lambda r: r["n"])] == list(range(1, 201))
 
 
-def test_groups_left_out_of_the_hot_list_are_still_answered(spark, monkeypatch):
-    monkeypatch.setattr(H, "MAX_HOT_GROUPS", 1)
-    data = rows()
-    found = H.running_number(spark.createDataFrame(data, SCHEMA), ["g"], ["at", "id"], "n", target_rows=20).collect()
-    assert len(found) == len(data)
-    for group in {r[0] for r in data}:
-        mine = sorted((r for r in data if r[0] == group), key=lambda r: (r[1], r[2]))
-        assert [r["id"] for r in sorted((r for r in found if r["g"] == group), key=lambda r: r["n"])] == [r[2] for r in mine]
+def test_a_long_list_of_hot_groups_is_a_table(spark, monkeypatch):
+    data = [(f"g{g}", datetime(2024, 1, 1) + timedelta(seconds=i), g * 100 + i) for g in range(12) for i in range(60)]
+    df = spark.createDataFrame(data, SCHEMA)
+    want = {r["id"]: r["increase"] for r in counter_increase(df, ["g"], "at", "id").collect()}
+    monkeypatch.setattr(H, "LISTED_GROUPS", 1)
+    cold, hot = H.split_hot(df, ["g"], "at", 20)
+    # Every group is hot, and every one is cut, however many there are.
+    assert cold.count() == 0
+    assert hot.groupBy("g", H.SLICE).count().agg(F.max("count")).first()[0] <= 20
+    found = {r["id"]: r["increase"] for r in counter_increase(df, ["g"], "at", "id", target_rows=20).collect()}
+    assert found == want
 
 
 def test_micros_do_not_depend_on_the_time_zone(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from labspark.functions.text import clean_message, event_message
 from labspark.operators import logs as L
 from labspark.operators.events import RUN_STATE, route_events
-from labspark.plans import hotgroups as H
+from labspark.plans.numbering import numbered
 
 ESC = "\x1b"
 
@@ -103,7 +103,7 @@ def test_progress_counts_per_run(spark):
 def test_running_number_keeps_null_groups_and_ties(spark):
     rows = [(None if i % 3 else "a", 7, i) for i in range(60)]
     df = spark.createDataFrame(rows, "g string, at int, id int")
-    found = H.running_number(df, ["g"], ["at", "id"], "n", target_rows=4).collect()
+    found = numbered(df, ["g"], ["at", "id"], "n").collect()
     for group in (None, "a"):
         mine = sorted(r[2] for r in rows if r[0] == group)
         assert [r["id"] for r in sorted((r for r in found if r["g"] == group), key=lambda r: r["n"])] == mine

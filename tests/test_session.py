@@ -24,6 +24,5 @@ def test_only_a_local_master_may_use_a_temporary_folder():
         shared_dir(fake(None, "yarn"))
 
 
-def test_scratch_paths_are_never_the_same():
-    spark = fake("/data", "local")
+def test_scratch_paths_are_never_the_same(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
