@@ -68,6 +68,21 @@ def _default(kind: str, value: object) -> Column:
     return F.lit(value).cast(kind)
 
 
+# Fields inside other parts of a document and what an absent one stands for.
+NESTED_DEFAULTS = (
+    ("emrCluster", "state", "STARTING"),
+    ("openSearchDomain", "state", "Creating"),
+    ("infrastructure", "subnetIds", []),
+)
+
+
+def _with_default(outer: str, inner: str, value: object) -> Column:
+    """The part with the field filled; a document without the part keeps null there."""
+    kind = "array<string>" if isinstance(value, list) else "string"
+    filled = F.col(outer).withField(inner, F.coalesce(F.col(f"{outer}.{inner}"), _default(kind, value)))
+    return F.when(F.col(outer).isNotNull(), filled)
+
+
 def parse_state(df: DataFrame, body: str = "body") -> DataFrame:
     """State documents as typed columns.
 
@@ -88,6 +103,7 @@ def parse_state(df: DataFrame, body: str = "body") -> DataFrame:
         .withColumn("infrastructureStatus", F.coalesce("infrastructureStatus", F.lit("UNKNOWN")))
         .withColumn("hosts", F.coalesce("hosts", no_hosts))
         .withColumn("backupHashes", F.coalesce("backupHashes", no_map))
+        .withColumns({outer: _with_default(outer, inner, value) for outer, inner, value in NESTED_DEFAULTS})
         .drop("_state")
     )
 

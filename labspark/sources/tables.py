@@ -53,6 +53,15 @@ def read_daily_index(
     return rows if since is None else rows.where(F.col("index") >= since)
 
 
+def expire_daily_index(spark: SparkSession, path: str, since: str) -> int:
+    """Delete the folders of indexes before ``since``; how many went. Readers see whole indexes only, before and after."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [status.getPath() for status in store.listStatus(root) if status.isDirectory()]
+    old = [folder for folder in folders if folder.getName().startswith("index=") and folder.getName() < f"index={since}"]
+    return sum(store.delete(folder, True) for folder in old)
+
+
 def put_documents(stored: DataFrame, new: DataFrame, key: Sequence[str], at: str, tie: str) -> DataFrame:
     """Stored and new documents with one row per key, the last written."""
     return newest_document(stored.unionByName(new), key, at, tie)

@@ -539,3 +539,26 @@ def label_roles(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(roles(labels, prefix), ",").alias("roles"),
         node_ready(conditions).alias("status"),
     )
+
+
+@query(
+    "host_table_filter",
+    "SELECT c_custkey, c_name FROM customer WHERE c_name IN (SELECT DISTINCT 'Customer#' || lpad((s_suppkey * 3)::varchar, 9, '0') FROM supplier)",
+)
+def host_table_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The wanted names as a table instead of a list."""
+    key = F.lpad((F.col("s_suppkey") * 3).cast("string"), 9, "0")
+    wanted = table(spark, sf, "supplier").select(F.concat(F.lit("Customer#"), key).alias("alias"))
+    return H.pick_hosts(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", wanted)
+
+
+@query(
+    "default_group_exclusion",
+    """SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 10 <> 0 OR s_nationkey = 3""",
+)
+def default_group_exclusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups without the default one of each network, which is wanted in network 3 only."""
+    name = F.when(F.col("s_suppkey") % 10 == 0, "default").when(F.col("s_suppkey") % 10 == 1, None).otherwise("own")
+    groups = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", name.alias("name"))
+    others = R.without_default(groups.where(F.col("s_nationkey") != 3), "name")
+    return others.unionByName(R.without_default(groups.where(F.col("s_nationkey") == 3), "name", include_default=True)).drop("name")

@@ -152,6 +152,22 @@ def log_daily_index(spark: SparkSession, sf: str) -> DataFrame:
     return stored.groupBy("index").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("event_id").alias("id_sum"))
 
 
+@query(
+    "retention_expire",
+    """SELECT 'logs-otel-' || strftime(ts, '%Y.%m.%d') AS "index", count(*) AS n_lines, sum(event_id)::bigint AS id_sum
+       FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) - INTERVAL 7 DAY FROM events) GROUP BY 1""",
+)
+def retention_expire(spark: SparkSession, sf: str) -> DataFrame:
+    """A store by day from which everything older than seven days before the newest day is deleted."""
+    path = scratch_path(spark, "kept-index")
+    events = table(spark, sf, "events").select("event_id", "ts", "props")
+    tables.write_daily_index(events, path)
+    oldest = events.select(L.daily_index(F.date_trunc("day", F.max("ts")) - F.expr("INTERVAL 7 DAYS"))).first()[0]
+    tables.expire_daily_index(spark, path, oldest)
+    kept = tables.read_daily_index(spark, path)
+    return kept.groupBy("index").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("event_id").alias("id_sum"))
+
+
 @query(
     "doc_upsert_latest",
     """SELECT user_id, event_id, ts, value FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labspark.functions.status import job_status_by_activity as status_by_activity
 from labspark.functions.text import contains, wanted_file
 from labspark.operators import catalogue as C
 from labspark.operators import jobs as J
@@ -232,3 +233,47 @@ def pod_ready_restarts(spark: SparkSession, sf: str) -> DataFrame:
     )
     pods = table(spark, sf, "orders").select(key.alias("pod"), containers.alias("containers"))
     return J.pod_readiness(pods).select("pod", "ready", "restarts")
+
+
+@query(
+    "job_status_by_activity",
+    """SELECT o_orderkey AS name, CASE WHEN o_orderkey % 2 > 0 THEN 'Running' WHEN o_orderkey % 4 > 0 THEN 'Completed'
+                                       WHEN o_custkey % 3 > 0 THEN 'Failed' ELSE 'Unknown' END AS status FROM orders""",
+)
+def job_status_by_activity(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    status = status_by_activity(F.when(key % 4 != 0, key % 4), F.col("o_custkey") % 3, key % 2)
+    return table(spark, sf, "orders").select(key.alias("name"), status.alias("status"))
+
+
+@query(
+    "pod_ready_floor",
+    """SELECT o_orderkey AS pod, len(list_filter(range(1, o_orderkey % 4 + 1), lambda i: (o_orderkey + i) % 3 <> 0)) || '/'
+              || greatest(o_orderkey % 4, o_custkey % 6, 1) AS ready FROM orders""",
+)
+def pod_ready_floor(spark: SparkSession, sf: str) -> DataFrame:
+    """Pods whose wanted number of containers is known before all of them report."""
+    key = F.col("o_orderkey")
+    numbers = F.filter(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint")), lambda i: i <= key % 4)
+    containers = F.transform(
+        numbers, lambda i: F.struct(((key + i) % 3 != 0).alias("ready"), F.lit(0).alias("restart_count"))
+    )
+    pods = table(spark, sf, "orders").select(key.alias("pod"), "o_custkey", containers.alias("containers"))
+    return J.pod_readiness(pods, floor=(F.col("o_custkey") % 6).cast("int")).select("pod", "ready")
+
+
+@query(
+    "backup_all_targets",
+    """SELECT count(*) AS checked, count(*) FILTER (hash IS NOT NULL AND hash IS DISTINCT FROM old) AS uploaded,
+              count(*) FILTER (hash = old) AS skipped
+       FROM (SELECT item_id, sha256(d.text) AS hash,
+                    CASE WHEN item_id % 3 = 0 THEN sha256(d.text) END AS old
+             FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id * 7)""",
+)
+def backup_all_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets are fixed beforehand; those without a document count as checked too."""
+    targets = table(spark, sf, "benchmark").select(F.col("item_id").alias("target"))
+    documents = table(spark, sf, "documents").where(F.col("doc_id") % 7 == 0)
+    current = documents.select((F.col("doc_id") / 7).cast("bigint").alias("target"), M.content_hash(F.col("text")).alias("hash"))
+    known = current.where(F.col("target") % 3 == 0)
+    return M.backup_summary(M.changed_since(M.all_targets(current, targets), known))

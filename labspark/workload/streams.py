@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from labspark.streaming import metrics as SM
 from labspark.streaming.batches import appended, newest_update, stored
 from labspark.workload.logs import BODY, PARSED, log_records
 from labspark.workload.metrics import INCREASES, SAMPLES, SERIES
-from labspark.workload.registry import query
+from labspark.workload.registry import ORACLES, query
 
 DAY = timedelta(days=1)
 SAMPLE_SCHEMA = T.StructType(
@@ -31,7 +32,10 @@ SAMPLE_SCHEMA = T.StructType(
 
 
 def sample_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = SM.table_stream(spark, f"{sf}/events.parquet")
+    return named_samples(SM.table_stream(spark, f"{sf}/events.parquet"))
+
+
+def named_samples(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("event_type").alias("metric"),
         F.col("user_id").alias("host"),
@@ -41,6 +45,18 @@ def sample_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def arriving_samples(spark: SparkSession, sf: str, parts: int = 4) -> Iterator[DataFrame]:
+    """The same samples as a table that grows: before each stream given, the next part, an equal span of time, is added."""
+    path = scratch_path(spark, "arriving")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(parts):
+        start, end = (first + (last - first) * k / parts for k in (i, i + 1))
+        part = rows.where((F.col("ts") >= F.lit(start)) & ((F.col("ts") < F.lit(end)) | F.lit(i + 1 == parts)))
+        part.write.mode("append").parquet(path)
+        yield named_samples(SM.table_stream(spark, path))
+
+
 @query(
     "metric_ingest_stream",
     f"SELECT metric, host, ts, value, sample_id FROM ({SAMPLES})",
@@ -71,11 +87,20 @@ def stream_gauge_step(spark: SparkSession, sf: str) -> DataFrame:
         FROM ({INCREASES}) GROUP BY 1, 2, 3""",
 )
 def stream_counter_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return counter_rates(spark, [sample_stream(spark, sf)])
+
+
+@query("stream_counter_batches", ORACLES["stream_counter_rate"])
+def stream_counter_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream started anew for each part that has arrived: last values are carried from run to run."""
+    return counter_rates(spark, arriving_samples(spark, sf))
+
+
+def counter_rates(spark: SparkSession, streams: Iterable[DataFrame]) -> DataFrame:
     base = scratch_path(spark, "counter")
-    run = SM.run_counter_increase(
-        sample_stream(spark, sf), SERIES, f"{base}/out", f"{base}/state", f"{base}/checkpoint"
-    )
-    run.awaitTermination()
+    for samples in streams:
+        run = SM.run_counter_increase(samples, SERIES, f"{base}/out", f"{base}/state", f"{base}/checkpoint")
+        run.awaitTermination()
     schema = T.StructType([*SAMPLE_SCHEMA.fields, T.StructField("increase", T.DoubleType())])
     rates = SM.step_rates(stored(spark, f"{base}/out", schema), SERIES, DAY)
     return rates.select(*SERIES, "step", F.round("rate", 9).alias("rate"))

@@ -171,6 +171,34 @@ def test_state_documents_are_read_leniently(spark, body, expected):
     assert (row["infrastructureStatus"], row["hosts"], row["backupHashes"]) == ("UNKNOWN", {}, {})
 
 
+def test_parts_of_state_documents_have_their_defaults(spark):
+    body = '{"emrCluster":{"clusterId":"j"},"openSearchDomain":{"domainName":"d","state":"Active"},"infrastructure":{"vpcId":"v"}}'
+    row = state.parse_state(spark.createDataFrame([(body,)], "body string")).first()
+    assert (row["emrCluster"]["clusterId"], row["emrCluster"]["state"]) == ("j", "STARTING")
+    assert (row["openSearchDomain"]["state"], row["infrastructure"]["subnetIds"]) == ("Active", [])
+    bare = state.parse_state(spark.createDataFrame([("{}",)], "body string")).first()
+    assert (bare["emrCluster"], bare["openSearchDomain"], bare["infrastructure"]) == (None, None, None)
+
+
+def test_old_indexes_are_deleted(spark, tmp_path):
+    df = spark.createDataFrame([(i, datetime(2024, 1, i)) for i in range(1, 9)], "id int, ts timestamp_ntz")
+    tables.write_daily_index(df, str(tmp_path))
+    assert tables.expire_daily_index(spark, str(tmp_path), "logs-otel-2024.01.06") == 5
+    assert sorted(r["id"] for r in tables.read_daily_index(spark, str(tmp_path)).collect()) == [6, 7, 8]
+    assert tables.expire_daily_index(spark, str(tmp_path), "logs-otel-2024.01.06") == 0
+
+
+def test_step_logs_leave_other_files_unread(spark, tmp_path):
+    folder = tmp_path / "j 1+2" / "steps" / "s-1"
+    folder.mkdir(parents=True)
+    (folder / "stderr.gz").write_bytes(gzip.compress(b"stderr 1\nstderr 2\n"))
+    # Reading this one would fail.
+    (folder / "stdout.gz").write_bytes(b"not compressed")
+    (tmp_path / "other.txt").write_text("no log")
+    logs = files.step_logs(spark, str(tmp_path), logs=["stderr"])
+    assert {(r["cluster_id"], r["log"], r["line"]) for r in logs.collect()} == {("j 1+2", "stderr", f"stderr {i}") for i in (1, 2)}
+
+
 def test_state_hosts(spark):
     body = '{"clusterId":"c","hosts":{"Cassandra":[{"alias":"db0","publicIp":"1"},{"alias":"db1","publicIp":"2"}]}}'
     rows = state.state_hosts(state.parse_state(spark.createDataFrame([(body,)], "body string"))).collect()
