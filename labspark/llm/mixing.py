@@ -3,11 +3,12 @@
 The words of each source form one stream: its documents in shuffled order, repeated pass after pass, cut into blocks of
 equal length. A schedule names the source of each slot of the mix: golden-ratio points, mapped through the cumulative
 weights, so that every stretch of the mix holds the sources close to their shares. A slot takes the next block of its
-source, the one whose number is the slot's rank among the slots of that source.
+source, the one whose number is the slot's rank among the slots of that source. Blocks left over get slots at the end.
 """
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal, getcontext
 
 import numpy as np
@@ -76,7 +77,8 @@ def source_table(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -
 def schedule(spark: SparkSession, sources: list[tuple], block_words: int) -> DataFrame:
     """``slot``, ``number`` of the source and ``rank`` among the slots of that source, all from 0.
 
-    There are a few more slots than blocks to take, so that a source whose points come late still gets its last block.
+    There are a few more slots than blocks to take. What blocks a source has not got by then, as its points come late, have
+    slots of their own at the end: first the next block of each such source, then the one after it.
     """
     targets = np.array([s[3] for s in sources])
     total = int(round(targets.sum()))
@@ -99,9 +101,14 @@ def schedule(spark: SparkSession, sources: list[tuple], block_words: int) -> Dat
     earlier = Window.partitionBy("number").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("number", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     inside = F.row_number().over(Window.partitionBy("number", "stretch").orderBy("slot"))
-    return dealt.join(begins, ["number", "stretch"]).select(
+    points = dealt.join(begins, ["number", "stretch"]).select(
         "slot", "number", (F.col("begin") + inside - 1).cast("bigint").alias("rank")
     )
+    # One row for each source reaches the driver; points spread evenly, so a source lacks a few blocks at most.
+    held = dict(dealt.groupBy("number").count().collect())
+    late = [(rank - held.get(s[0], 0), s[0], rank) for s in sources for rank in range(held.get(s[0], 0), math.ceil(s[3] / block_words))]
+    rows = [(slots + i, number, rank) for i, (_, number, rank) in enumerate(sorted(late))]
+    return points.unionByName(spark.createDataFrame(rows, "slot long, number int, rank long")) if rows else points
 
 
 def placed(sizes: DataFrame, sources: list[tuple]) -> DataFrame:
@@ -158,10 +165,10 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with their places, and the mix: ``slot``, ``number``, ``row``, ``pass``, ``first``, ``words``, ``middle``.
 
-    Reading the mix by slot gives the words of the mix in order. The words taken from a source are its target, rounded, or
-    short of it by a block or two when its last points come late; none is taken more than ``max_repeats`` times. A null
-    source is a source, the last; a null or empty text has no words and takes no room. Repeated rows are documents of their
-    own. Empty tables and tables without words give an empty mix. The order is a hash, so reruns agree.
+    Reading the mix by slot gives the words of the mix in order. The words taken from a source are its target, rounded; none
+    is taken more than ``max_repeats`` times. A null source is a source, the last; a null or empty text has no words and
+    takes no room. Repeated rows are documents of their own. Empty tables and tables without words give an empty mix. The
+    order is a hash, so reruns agree.
     """
     sizes = sized(docs, id_column, source_column, text_column)
     sources = source_table(sizes, weights, max_repeats)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from labspark.llm.mixing import mix, mix_counts, mixed_documents, schedule, source_targets
 
@@ -76,6 +77,22 @@ def test_ranks_are_gapless(spark):
     assert not any(r.number == 1 for r in rows)
 
 
+def test_small_sources_get_all_their_words(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * 20_000, f"big{i}") for i in range(2)]
+    rows += [(i, "w " * rng.randrange(1, 7), f"small{i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(mix_counts(docs, block_words=1).collect(), {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows})
+    # As large as 40 million words: each source has every block, and no slot is named twice.
+    sources = [(i, str(i), 10, t, 1) for i, t in enumerate([2.5e7, 1.5e7, *(rng.uniform(1, 2000) for _ in range(40))])]
+    slots = schedule(spark, sources, 256)
+    assert slots.count() == slots.select("slot").distinct().count()
+    ranks = {r.number: (r.n, r.last) for r in slots.groupBy("number").agg(F.countDistinct("rank").alias("n"), F.max("rank").alias("last")).collect()}
+    for number, _, _, target, _ in sources:
+        n, last = ranks[number]
+        assert n == last + 1 >= target / 256
+
+
 def test_whole_documents(odd, odd_rows):
     docs = mixed_documents(odd)
     assert docs.columns == odd.columns
