@@ -187,9 +187,11 @@ class Encoder:
         parts = [data for _, data in chunk]
         data = LOWER[np.frombuffer(b"\n".join(parts) + b"\n" + bytes(KEY_BYTES), np.uint8)]
         starts, lengths = units(data[:-KEY_BYTES])
-        at, n = self._places(data, starts, lengths)
+        # A text may have more units than the table has slots; so many at a time always find room.
+        step = self.table.slots // 4
+        found = [self._ids(data, starts[i : i + step], lengths[i : i + step]) for i in range(0, max(1, len(starts)), step)]
+        n, ids = (np.concatenate(x) for x in zip(*found))
         total = np.cumsum(n, dtype=np.int64)
-        ids = self.ids[np.repeat(at - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
         sizes = np.array([len(p) + 1 for p in parts])
         last_unit = np.searchsorted(starts, np.cumsum(sizes))
         ends = np.concatenate([[0], total])[last_unit]
@@ -198,6 +200,12 @@ class Encoder:
             out[i] = ids[begin:end]
             begin = end
 
+    def _ids(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each unit has, and the ids of all in order."""
+        at, n = self._places(data, starts, lengths)
+        total = np.cumsum(n, dtype=np.int64)
+        return n, self.ids[np.repeat(at - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+
     def _places(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32)
         short = np.flatnonzero(lengths <= KEY_BYTES)
@@ -210,9 +218,7 @@ class Encoder:
         missing = np.flatnonzero(slots < 0)
         if len(missing):
             where = short[missing]
-            new = sorted({raw[s : s + k] for s, k in zip(starts[where].tolist(), lengths[where].tolist())})
-            for first in range(0, len(new), self.table.slots // 4):
-                self._learn(new[first : first + self.table.slots // 4])
+            self._learn(sorted({raw[s : s + k] for s, k in zip(starts[where].tolist(), lengths[where].tolist())}))
             slots[missing] = self.table.find(keys[missing])
         at[short], n[short] = self.table.at[slots], self.table.n[slots]
         unknown = sorted({unit for _, unit in long if unit not in self.long})

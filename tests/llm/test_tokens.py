@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import signal
 import zlib
 from collections import defaultdict
 
@@ -43,6 +44,22 @@ def test_encoder_forgets_when_full(library, monkeypatch):
         assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_takes_texts_of_more_units_than_slots(library, monkeypatch):
+    monkeypatch.setattr(tokens, "SLOT_BITS", 6)
+    coder = tokens.Encoder(TOKENIZER)
+    rng = random.Random(3)
+
+    def words(n, length):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(length)) for _ in range(n))
+
+    texts = ["before", words(500, 9), "", words(300, 30), words(5, 4), words(200, 12) + "!"]
+    signal.alarm(120)  # it once searched a full table for ever
+    try:
+        assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    finally:
+        signal.alarm(0)
+
+
 def test_files_round_trip(spark, odd, odd_rows, library):
     folder = scratch_path(spark, "test-tokens")
     write_token_files(odd, folder, TOKENIZER)
