@@ -42,6 +42,28 @@ def test_matches_brute_force(spark, monkeypatch, block_rows):
     assert found(vectors.unionByName(vectors)) == brute(rows, set(range(0, 300, 10)), 10)
 
 
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_large_components(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(topk, "QUERY_ROWS", block_rows)
+    monkeypatch.setattr(topk, "DEPTH", 3)
+    rng = random.Random(2)
+    # Scores of 64 bits, and far beyond; small vectors among large ones, and ties.
+    for sizes in ([1.0, 20_000.0, -3e5], [3e5 + 0.37, 9e5 + 0.71, 3e6], [0.5, 1e9, 3e12, -1e17, 5e37], [1.0, -1e150, 1e306]):
+        rows = [(i, [rng.choice(sizes) * rng.choice([1, 1, rng.random()]) for _ in range(4)]) for i in range(60)]
+        rows += [(60, [0.0] * 4), (70, [-0.25, 0.0, 0.0, 0.0]), (80, []), (81, []), (90, [max(sizes)]), (91, [1.0])]
+
+        def exact(v):
+            # A double beyond 2 ** 53 is whole.
+            return [math.floor(1024 * x) if abs(x) < 1e300 else 1024 * int(x) for x in v]
+
+        want = set()
+        for q, v in rows[::10] + [r for r in rows[60:] if r[0] % 10 == 0 and r[0] > 60]:
+            scores = [(-sum(a * b for a, b in zip(exact(v), exact(w))), i) for i, w in rows if i != q and len(w) == len(v)]
+            want |= {(q, n + 1, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(sorted(scores)[:10])}
+        assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == want
+
+
 def test_stops_before_the_end(monkeypatch):
     monkeypatch.setattr(topk, "DEPTH", 8)
     rng = np.random.default_rng(0)
