@@ -20,34 +20,61 @@ ROWS = 2
 CONTAINED = 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
-# Names of licenses and words of their usual notices.
+# Names of licenses and words of their usual notices or titles. A template that names a family or version is so
+# short that without the shingles that hold the name or version less than ``CONTAINED`` of it is left.
+FSF = "as published by the Free Software Foundation"
 TEMPLATES = (
+    ("agpl-3.0", "GNU Affero General Public License, version 3"),
+    ("agpl-3.0-header", f"terms of the GNU Affero General Public License {FSF}, either version 3 of the License"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     (
         "apache-2.0-header",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed"
         ' on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     ),
+    ("apache-2.0-title", "Apache License Version 2.0, January 2004"),
     (
         "bsd",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
         " following conditions are met",
     ),
+    ("cc-by-3.0", "under a Creative Commons Attribution 3.0 Unported License"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-4.0-short", "Licensed under CC BY 4.0"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
+    ("cc-by-nc-4.0-notice", "under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa-4.0-notice", "under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-sa-3.0", "under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0-notice", "under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("epl-2.0", "terms of the Eclipse Public License 2.0"),
+    ("gpl-2.0", "under the GNU General Public License, version 2"),
+    ("gpl-2.0-header", f"terms of the GNU General Public License {FSF}; either version 2 of the License"),
+    ("gpl-2.0-only-header", f"terms of the GNU General Public License version 2 {FSF}"),
+    ("gpl-2.0-title", "GNU General Public License Version 2, June 1991"),
+    ("gpl-3.0", "under the GNU General Public License, version 3"),
+    ("gpl-3.0-header", f"terms of the GNU General Public License {FSF}, either version 3 of the License"),
+    ("gpl-3.0-title", "GNU General Public License Version 3, 29 June"),
     (
-        "gpl-3.0-header",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
-        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
-        " later version.",
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice and this permission notice appear in all copies",
     ),
+    ("lgpl-2.0-header", f"terms of the GNU Library General Public License {FSF}; either version 2 of the License"),
+    ("lgpl-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("lgpl-2.1-header", f"terms of the GNU Lesser General Public License {FSF}; either version 2.1 of the License"),
+    ("lgpl-3.0", "GNU Lesser General Public License, version 3"),
+    ("lgpl-3.0-header", f"terms of the GNU Lesser General Public License {FSF}; either version 3 of the License"),
     ("mit", "Released under the MIT License"),
     (
         "mit-permission",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
         ' documentation files (the "Software"), to deal in the Software without restriction',
     ),
+    ("mpl-2.0", "of the Mozilla Public License, v. 2.0"),
+    ("mpl-2.0-title", "Mozilla Public License, version 2.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
 
@@ -131,18 +158,17 @@ def license_matches(
             lambda s: F.struct(F.lit(length).alias("length"), s.alias("start"), F.slice("all", s + 1, length).alias("of")),
         )
 
-    # Shingles of each template in the whole text: what verifies, counted here so that texts are not carried on.
-    counts = F.map_from_entries(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(r["template"]).alias("key"),
-                    F.size(F.array_intersect(F.array(*[F.lit(h) for h in r["of"]]), F.col("all"))).alias("value"),
-                )
-                for r in rows
-            ]
-        )
-    )
+    # Shingles of each template in the whole text: what verifies, counted here so that texts are not carried on. The text is
+    # first cut down, once, to the shingles that any template has.
+    def array_of(values: list[int]) -> Column:
+        return F.array(*[F.lit(h) for h in values])
+
+    def count(held: Column) -> Column:
+        sizes = [(r["template"], F.size(F.array_intersect(array_of(r["of"]), held))) for r in rows]
+        return F.map_from_entries(F.array(*[F.struct(F.lit(t).alias("key"), n.alias("value")) for t, n in sizes]))
+
+    of_any = array_of(sorted({h for r in rows for h in r["of"]}))
+    counts = F.element_at(F.transform(F.array(F.array_intersect(of_any, F.col("all"))), count), 1)
     each = near.select(
         "id", "row", counts.alias("counts"), F.explode(F.concat(*[windows(n) for n in lengths])).alias("w")
     )

@@ -170,6 +170,38 @@ def test_licenses(spark):
     assert len(found) == len(want) > 100
 
 
+def test_licenses_of_other_versions_and_families(spark):
+    fsf = "as published by the Free Software Foundation"
+    either = "you can redistribute it and/or modify it under the terms of the GNU {} License " + fsf + "; either version {} of the License, or (at your option) any later version"
+    rows = {
+        "licensed under the GNU General Public License, version 2": {"gpl-2.0"},
+        "licensed under the GNU General Public License, version 3": {"gpl-3.0"},
+        "licensed under the GNU General Public License, version 4": set(),
+        either.format("General Public", "2"): {"gpl-2.0-header"},
+        either.format("General Public", "3"): {"gpl-3.0-header"},
+        either.format("General Public", "4"): set(),
+        either.format("Lesser General Public", "2.1"): {"lgpl-2.1-header"},
+        either.format("Lesser General Public", "3"): {"lgpl-3.0-header"},
+        either.format("Affero General Public", "3"): {"agpl-3.0-header"},
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007": {"lgpl-3.0"},
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": {"gpl-3.0-title"},
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": {"gpl-2.0-title"},
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": {"mpl-2.0"},
+        "Licensed under the Apache License, Version 1.1": set(),
+        "Licensed under CC BY-SA 4.0": {"cc-by-sa-4.0"},
+        "Licensed under CC BY-SA 3.0": set(),
+    }
+    texts = list(rows)
+    docs = spark.createDataFrame([(i, f"some words before it. {t} and some words after it") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {t: set() for t in texts}
+    for r in licenses.license_matches(docs).collect():
+        found[texts[r.id]].add(r.template)
+    assert found == rows
+    # A template's own text is found as no other version or family.
+    docs = spark.createDataFrame(list(licenses.TEMPLATES), "doc_id string, text string")
+    assert {(r.id, r.template) for r in licenses.license_matches(docs).collect()} == {(n, n) for n, _ in licenses.TEMPLATES}
+
+
 def test_odd_rows(odd, odd_rows, empty):
     n = len(odd_rows)
     assert pii.personal_data(odd).count() == n
