@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labspark.llm import pii, secrets
 from labspark.llm.common import TOKENIZER, documents, importable, labels
+from labspark.llm.decontamination import LOWER, UPPER, WORD, benchmark_hits
 from labspark.llm.exact_dedup import exact_classes
 from labspark.llm.licenses import TEMPLATES, license_matches
 from labspark.llm.mixing import mix_counts
@@ -176,6 +177,50 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, divisible(vectors, "vec_id", 100)).withColumnRenamed("id", "vec_id")
 
 
+DECONTAMINATION_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}') AS w
+    FROM documents
+),
+items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item,
+           regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}') AS w
+    FROM benchmark
+),
+windows AS (
+    SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS run
+    FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM items WHERE len(w) > 0)
+),
+runs AS (
+    SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS run
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM windows))
+),
+hits AS (SELECT r, n, p, item FROM runs JOIN windows USING (n, run)),
+covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS place FROM hits) GROUP BY r),
+named AS (
+    SELECT r, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256 FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""".replace("{upper}", UPPER).replace("{lower}", LOWER).replace("{word}", WORD)
+
+
+@query("op12_decontamination", DECONTAMINATION_SQL)
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
