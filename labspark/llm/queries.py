@@ -12,6 +12,7 @@ from labspark.llm import pii, secrets
 from labspark.llm.common import TOKENIZER, documents, importable, labels
 from labspark.llm.decontamination import LOWER, UPPER, WORD, benchmark_hits
 from labspark.llm.exact_dedup import exact_classes
+from labspark.llm.hard_negatives import hard_negatives
 from labspark.llm.licenses import TEMPLATES, license_matches
 from labspark.llm.mixing import mix_counts
 from labspark.llm.packing import pack_documents
@@ -221,6 +222,45 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+               CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v a JOIN v c ON a.vec_id <> c.vec_id
+        WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM scored WHERE same)
+        WHERE n <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM (
+        SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    )
+    WHERE rank <= 10
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    other = (F.col("label").cast("bigint") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, other).otherwise(F.col("label").cast("bigint"))
+    vectors = vectors.withColumn("label", label)
+    return hard_negatives(vectors, divisible(vectors, "vec_id", 100))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
