@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labspark.llm import pii, secrets
 from labspark.llm.common import TOKENIZER, documents, importable, labels
+from labspark.llm.conversations import repaired_conversations
 from labspark.llm.decontamination import LOWER, UPPER, WORD, benchmark_hits
 from labspark.llm.exact_dedup import exact_classes
 from labspark.llm.hard_negatives import hard_negatives
@@ -261,6 +262,31 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, divisible(vectors, "vec_id", 100))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults: rows left out, emptied, cut off, repeated or given to the user, by a checksum."""
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fault = F.crc32(key) % 20
+    return rows.where(fault != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    reports = repaired_conversations(damaged(conversations)).reports
+    every = conversations.select("conv_id").distinct()
+    joined = every.join(reports, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.when(F.col("audit").isNull(), F.lit(0).cast("bigint"))).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
