@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -63,3 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
+
+
+def visible_to_workers(spark: SparkSession) -> None:
+    """Let Python workers that see the driver's folders import this package.
+
+    Workers on other machines get it as Spark distributes it, by ``--py-files`` or their own installation.
+    """
+    environment = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, path)))

@@ -14,6 +14,7 @@ from labspark.sources import files
 from labspark.streaming import events as SE
 from labspark.streaming import logs as SL
 from labspark.streaming import metrics as SM
+from labspark.streaming import state as SK
 from labspark.streaming.batches import appended, newest_update, stored
 from labspark.workload.logs import BODY, PARSED, log_records
 from labspark.workload.metrics import INCREASES, SAMPLES, SERIES
@@ -106,6 +107,20 @@ def counter_rates(spark: SparkSession, streams: Iterable[DataFrame]) -> DataFram
     return rates.select(*SERIES, "step", F.round("rate", 9).alias("rate"))
 
 
+def run_events(samples: DataFrame) -> DataFrame:
+    """Samples as the output of five runs."""
+    kind = (
+        F.when(F.col("metric") == "error", "error").when(F.col("metric") == "purchase", "message").otherwise("frame")
+    )
+    return samples.select(
+        F.concat(F.lit("run"), F.col("host") % 5).alias("run_id"),
+        F.col("sample_id").alias("seq"),
+        kind.alias("event_type"),
+        "ts",
+        F.concat("metric", F.lit("\r\n  "), F.col("sample_id").cast("string"), F.lit("\x1b[0m")).alias("message"),
+    )
+
+
 @query(
     "stream_event_route",
     """WITH e AS (SELECT 'run' || (user_id % 5) AS run_id, event_id AS seq,
@@ -119,15 +134,7 @@ def counter_rates(spark: SparkSession, streams: Iterable[DataFrame]) -> DataFram
 )
 def stream_event_route(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "route")
-    kind = (
-        F.when(F.col("metric") == "error", "error").when(F.col("metric") == "purchase", "message").otherwise("frame")
-    )
-    events = sample_stream(spark, sf).select(
-        F.concat(F.lit("run"), F.col("host") % 5).alias("run_id"),
-        F.col("sample_id").alias("seq"),
-        kind.alias("event_type"),
-        F.concat("metric", F.lit("\r\n  "), F.col("sample_id").cast("string"), F.lit("\x1b[0m")).alias("message"),
-    )
+    events = run_events(sample_stream(spark, sf))
     SE.run_event_route(events, f"{base}/out", f"{base}/state", f"{base}/checkpoint").awaitTermination()
     schema = T.StructType.fromDDL("run_id string, seq bigint, event_type string, message string")
     return stored(spark, f"{base}/out", schema).drop("batch")
@@ -176,3 +183,50 @@ def stream_fanout(spark: SparkSession, sf: str) -> DataFrame:
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.groupBy("sink").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sample_id").alias("id_sum"))
+
+
+def shuffled_samples(spark: SparkSession, sf: str, parts: int = 4) -> tuple[timedelta, Iterator[DataFrame]]:
+    """A growing table again, but samples come in any order: with the part of their time or, by a hash, with the next one.
+
+    Last comes a row that is no sample and lies far ahead. Also how late a sample can be.
+    """
+    path = scratch_path(spark, "shuffled")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    length = (last - first) / parts + timedelta(seconds=1)
+    of_time = sum((F.col("ts") >= F.lit(first + i * length)).cast("int") for i in range(1, parts))
+    arrival = F.least(of_time + F.pmod(F.xxhash64("event_id"), F.lit(2)), F.lit(parts - 1))
+    placed = rows.withColumn("_arrival", arrival)
+
+    def streams() -> Iterator[DataFrame]:
+        for i in range(parts):
+            part = placed.where(F.col("_arrival") == i).drop("_arrival")
+            part.orderBy(F.xxhash64("event_id")).write.mode("append").parquet(path)
+            yield named_samples(SM.table_stream(spark, path))
+        ahead = [F.lit(last + 3 * length) if c == "ts" else F.lit(None) for c in rows.columns]
+        spark.range(1).select(*[a.cast(f.dataType).alias(f.name) for a, f in zip(ahead, rows.schema)]).write.mode("append").parquet(path)
+        yield named_samples(SM.table_stream(spark, path))
+
+    return length, streams()
+
+
+@query("stream_trailing_rate", ORACLES["counter_rate"])
+def stream_trailing_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """The trailing rate of late samples over several runs, each with the state of the one before."""
+    base = scratch_path(spark, "trailing")
+    late, streams = shuffled_samples(spark, sf)
+    for samples in streams:
+        rates = SK.trailing_rates(samples, SERIES, DAY, late)
+        SK.run_trailing_rates(rates, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = appended(spark, f"{base}/out", rates.schema)
+    return rows.select("sample_id", "metric", "host", "ts", F.round("rate", 9).alias("rate"))
+
+
+@query("stream_keyed_route", ORACLES["stream_event_route"])
+def stream_keyed_route(spark: SparkSession, sf: str) -> DataFrame:
+    """The same messages with the runs' counts in a keyed store, over a table that grows."""
+    base = scratch_path(spark, "keyed-route")
+    for samples in arriving_samples(spark, sf):
+        shown = SK.routed_events(run_events(samples), timedelta(hours=1))
+        SK.run_routed_events(shown, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return appended(spark, f"{base}/out", shown.schema)
