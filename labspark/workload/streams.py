@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labspark.session import scratch_path
+from labspark.session import scratch_path, visible_to_workers
 from labspark.sources import files
+from labspark.sources.tail import tail
 from labspark.streaming import events as SE
 from labspark.streaming import logs as SL
 from labspark.streaming import metrics as SM
@@ -230,3 +233,73 @@ def stream_keyed_route(spark: SparkSession, sf: str) -> DataFrame:
         shown = SK.routed_events(run_events(samples), timedelta(hours=1))
         SK.run_routed_events(shown, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return appended(spark, f"{base}/out", shown.schema)
+
+
+LINES_PER_FILE = 20_000
+
+
+def grow_files(lines: DataFrame, folder: str, part: int) -> int:
+    """Write the lines of the parts up to ``part`` to their files, and the first half of the line that comes next.
+
+    A task that runs again writes the same bytes. How many lines are whole.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, file, whole, cut = None, None, 0, False
+        for batch in batches:
+            for row_file, row_part, value in zip(batch["file"], batch["part"], batch["value"]):
+                if row_file != name:
+                    if file is not None:
+                        file.close()
+                    name, file, cut = row_file, store.open_output_stream(f"{root}/{row_file}"), False
+                data = value.encode()
+                if row_part <= part:
+                    file.write(data + b"\n")
+                    whole += 1
+                elif not cut:
+                    file.write(data[: len(data) // 2])
+                    cut = True
+        if file is not None:
+            file.close()
+        yield pd.DataFrame({"whole": [whole]})
+
+    visible_to_workers(lines.sparkSession)
+    sorted_lines = lines.where(F.col("part") <= part + 1).repartition("file").sortWithinPartitions("file", "part", "event_id")
+    return sorted_lines.mapInPandas(write, "whole long").agg(F.sum("whole")).first()[0] or 0
+
+
+@query(
+    "stream_log_tail",
+    f"""WITH lines AS (SELECT event_id, component, NOT json_valid(body) AS malformed, k, event_id % 3 AS part
+                       FROM (SELECT *, event_id AS id FROM {PARSED}))
+        SELECT 'beginning' AS start_at, event_id, component, malformed, k FROM lines
+        UNION ALL SELECT 'end', event_id, component, malformed, k FROM lines WHERE part > 0""",
+)
+def stream_log_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of files that grow between three runs; a second stream starts where the files end at first."""
+    base, parts = scratch_path(spark, "log-tail"), 3
+    records = log_records(spark, sf)
+    shards = records.count() // LINES_PER_FILE + 1
+    file = F.format_string("%s-%d.log", "component", F.pmod(F.col("event_id"), F.lit(shards)))
+    value = F.concat_ws("|", F.col("event_id").cast("string"), "body")
+    lines = records.select(file.alias("file"), (F.col("event_id") % parts).alias("part"), "event_id", value.alias("value"))
+    tails = {}
+    for part in range(parts):
+        grow_files(lines, f"{base}/in", part)
+        for start_at in ("beginning", "end"):
+            raw = tail(spark, f"{base}/in", start_at=start_at)
+            named = raw.select(
+                F.substring_index("body", "|", 1).cast("bigint").alias("event_id"),
+                F.regexp_replace("body", "^[0-9]+\\|", "").alias("body"),
+                F.regexp_extract("file_name", "^(.*)-[0-9]+[.]log$", 1).alias("component"),
+            )
+            found = SL.log_records(named, BODY, {})
+            SL.run_logs(found, f"{base}/{start_at}", f"{base}/checkpoint-{start_at}", every=None).awaitTermination()
+            tails[start_at] = found.schema
+    sides = [
+        appended(spark, f"{base}/{name}", schema).select(F.lit(name).alias("start_at"), "event_id", "component", "malformed", "parsed.k")
+        for name, schema in tails.items()
+    ]
+    return sides[0].unionByName(sides[1])

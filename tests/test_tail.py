@@ -1,0 +1,118 @@
+"""Lines of growing files: each once, partial lines held back, rotation, starting at the end."""
+
+from __future__ import annotations
+
+import pytest
+
+from labspark.sources import tail as module
+from labspark.sources.tail import GrownFilesReader, Range, tail
+from labspark.streaming.batches import append, appended
+
+
+class Tail:
+    def __init__(self, spark, folder, **options):
+        self.spark, self.options = spark, options
+        self.source, self.out, self.checkpoint = folder / "in", str(folder / "out"), str(folder / "checkpoint")
+        self.source.mkdir()
+        self.known = []
+
+    def add(self, name, text):
+        path = self.source / name
+        path.parent.mkdir(exist_ok=True)
+        with open(path, "ab") as file:
+            file.write(text.encode())
+
+    def run(self):
+        """The lines that a stream, started anew, brings."""
+        lines = tail(self.spark, str(self.source), **self.options)
+        append(lines, self.out, self.checkpoint).awaitTermination()
+        rows = [(r["file_name"], r["body"], r["line_at"]) for r in appended(self.spark, self.out, lines.schema).collect()]
+        new = list(rows)
+        for row in self.known:
+            new.remove(row)
+        self.known = rows
+        return sorted(new)
+
+
+def test_lines_are_read_once_as_files_grow(spark, tmp_path):
+    t = Tail(spark, tmp_path)
+    t.add("a.log", "one\ntwo\nthr")
+    t.add("sub/b.log", "x\r\n")
+    t.add("c.txt", "no\n")
+    assert t.run() == [("a.log", "one", 0), ("a.log", "two", 4), ("b.log", "x", 0)]
+    assert t.run() == []
+    t.add("a.log", "ee\n\nfünf\n")
+    t.add("d.log", "new\n")
+    assert t.run() == [("a.log", "", 14), ("a.log", "fünf", 15), ("a.log", "three", 8), ("d.log", "new", 0)]
+    t.add("a.log", "last")
+    assert t.run() == []
+
+
+def test_start_at_the_end(spark, tmp_path):
+    t = Tail(spark, tmp_path, start_at="end")
+    t.add("a.log", "old\nold\nunder way")
+    assert t.run() == []
+    t.add("a.log", " still\nnew\n")
+    t.add("b.log", "first\n")
+    assert t.run() == [("a.log", "new", 24), ("a.log", "under way still", 8), ("b.log", "first", 0)]
+
+
+def test_rotation(spark, tmp_path):
+    """Renamed with lines unread, cut in place, replaced by a longer file, gone."""
+    t = Tail(spark, tmp_path, pattern="*.log*")
+    t.add("a.log", "a1\na2\n")
+    t.add("b.log", "b1\nb2\nb3\n")
+    t.add("c.log", "c1\n")
+    t.add("d.log", "d1\n")
+    assert len(t.run()) == 7
+    t.add("a.log", "a3\n")
+    (t.source / "a.log").rename(t.source / "a.log.1")
+    t.add("a.log", "a4\n")
+    (t.source / "b.log").write_bytes(b"b4\n")
+    (t.source / "c.log").write_bytes(b"c2\nc3\nc4\n")
+    (t.source / "d.log").unlink()
+    new = [("a.log", "a4", 0), ("a.log.1", "a3", 6), ("b.log", "b4", 0), ("c.log", "c2", 0), ("c.log", "c3", 3), ("c.log", "c4", 6)]
+    assert t.run() == new
+    t.add("b.log", "b5\n")
+    t.add("a.log.1", "a3b\n")
+    assert t.run() == [("a.log.1", "a3b", 9), ("b.log", "b5", 3)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50, 1000])
+def test_ranges_share_the_lines(tmp_path, monkeypatch, size):
+    """Whatever the ranges and the pieces read, every line comes once, with its place."""
+    monkeypatch.setattr(module, "RANGE_BYTES", size)
+    monkeypatch.setattr(module, "LOOK_BYTES", 4)
+    texts = ["", "a", "bb\r", "", "a line longer than most ranges here", "é" * 9, "end"]
+    (tmp_path / "a.log").write_bytes("\n".join([*texts, "held back"]).encode())
+    reader = GrownFilesReader(str(tmp_path), "*.log", "beginning")
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert all(isinstance(p, Range) and p.stop - p.start <= size for p in parts)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["body"] for r in rows] == [t.removesuffix("\r") for t in texts]
+    ends = [len("\n".join(texts[:i]).encode()) + (i > 0) for i in range(len(texts))]
+    assert [r["line_at"] for r in rows] == ends
+
+
+def test_unchanged_files_are_not_opened(tmp_path, monkeypatch):
+    (tmp_path / "a.log").write_text("x\n")
+    (tmp_path / "b.log").write_text("y\n")
+    reader = GrownFilesReader(str(tmp_path), "*.log", "beginning")
+    first = reader.latestOffset()
+    opened = []
+    real = module.last_line_end
+    monkeypatch.setattr(module, "last_line_end", lambda store, path, size: opened.append(path) or real(store, path, size))
+    with open(tmp_path / "b.log", "a") as file:
+        file.write("z\n")
+    second = reader.latestOffset()
+    assert [p.rsplit("/", 1)[1] for p in opened] == ["b.log"]
+    assert [(p.path.rsplit("/", 1)[1], p.start, p.stop) for p in reader.partitions(first, second)] == [("b.log", 2, 4)]
+
+
+def test_empty_and_missing_folders(spark, tmp_path):
+    t = Tail(spark, tmp_path)
+    assert t.run() == []
+    reader = GrownFilesReader(str(tmp_path / "none"), "*", "end")
+    assert reader.latestOffset() == reader.initialOffset() == {"files": {}}
+    with pytest.raises(ValueError, match="beginning or end"):
+        GrownFilesReader(str(tmp_path), "*", "middle")
