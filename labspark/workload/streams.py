@@ -15,6 +15,7 @@ from labspark.session import scratch_path, visible_to_workers
 from labspark.sources import files
 from labspark.sources.tail import tail
 from labspark.streaming import events as SE
+from labspark.streaming import compaction as SC
 from labspark.streaming import logs as SL
 from labspark.streaming import metrics as SM
 from labspark.streaming import state as SK
@@ -179,9 +180,9 @@ def stream_fanout(spark: SparkSession, sf: str) -> DataFrame:
         "errors": (is_error, f"{base}/errors"),
         "rest": (~is_error, f"{base}/rest"),
     }
-    SL.run_fan_out(sample_stream(spark, sf), sinks, f"{base}/checkpoint").awaitTermination()
+    SL.run_fan_out(sample_stream(spark, sf), sinks, f"{base}/checkpoint", f"{base}/commits").awaitTermination()
     parts = [
-        stored(spark, path, SAMPLE_SCHEMA).select(F.lit(name).alias("sink"), "sample_id")
+        SL.committed_batches(spark, path, SAMPLE_SCHEMA, f"{base}/commits").select(F.lit(name).alias("sink"), "sample_id")
         for name, (_, path) in sinks.items()
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -303,3 +304,16 @@ def stream_log_tail(spark: SparkSession, sf: str) -> DataFrame:
         for name, schema in tails.items()
     ]
     return sides[0].unionByName(sides[1])
+
+
+@query("stream_gauge_compacted", ORACLES["stream_gauge_step"])
+def stream_gauge_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Gauge steps of a table that grows, the store compacted behind the watermark after each arrival."""
+    base = scratch_path(spark, "compacted")
+    for samples in arriving_samples(spark, sf):
+        steps = SM.gauge_steps(samples, SERIES, DAY, DAY, tie="sample_id")
+        run = SM.run_gauge_steps(steps, f"{base}/out", f"{base}/checkpoint")
+        run.awaitTermination()
+        SC.compact_steps(spark, f"{base}/out", steps.schema, [*SERIES, "step"], SC.watermark_of(run), DAY)
+    rows = SC.read_steps(spark, f"{base}/out", steps.schema, [*SERIES, "step"])
+    return rows.select(*SERIES, F.col("step").cast("timestamp_ntz").alias("step"), "value")

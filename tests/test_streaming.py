@@ -149,12 +149,49 @@ def test_a_batch_that_runs_again_leaves_no_doubles(spark, tmp_path):
 
 
 def test_fan_out(spark, tmp_path):
-    source = str(tmp_path / "in")
+    source, commits = str(tmp_path / "in"), str(tmp_path / "commits")
     put(spark, [sample(i, "h", i, i) for i in range(10)], source)
     stream = SM.sample_stream(spark, source, T.StructType.fromDDL(SCHEMA))
     sinks = {"all": (F.lit(True), str(tmp_path / "all")), "high": (F.col("value") > 6, str(tmp_path / "high"))}
-    SL.run_fan_out(stream, sinks, str(tmp_path / "checkpoint")).awaitTermination()
-    assert [stored(spark, path, stream.schema).count() for _, path in sinks.values()] == [10, 3]
+    SL.run_fan_out(stream, sinks, str(tmp_path / "checkpoint"), commits).awaitTermination()
+    assert [SL.committed_batches(spark, path, stream.schema, commits).count() for _, path in sinks.values()] == [10, 3]
+
+
+def test_a_failure_between_two_sinks_shows_no_half_batch(spark, tmp_path, monkeypatch):
+    source, commits, checkpoint = (str(tmp_path / n) for n in ("in", "commits", "checkpoint"))
+    schema = T.StructType.fromDDL(SCHEMA)
+    sinks = {"all": (F.lit(True), str(tmp_path / "all")), "high": (F.col("value") > 6, str(tmp_path / "high"))}
+    real = SL.store_batch
+
+    def run():
+        SL.run_fan_out(SM.sample_stream(spark, source, schema), sinks, checkpoint, commits).awaitTermination()
+
+    def counts():
+        return [SL.committed_batches(spark, path, schema, commits).count() for _, path in sinks.values()]
+
+    def dies(df, path, batch_id):
+        if path.endswith("high"):
+            raise RuntimeError("sink gone")
+        real(df, path, batch_id)
+
+    assert counts() == [0, 0]
+    put(spark, [sample(i, "h", i, i) for i in range(10)], source)
+    run()
+    put(spark, [sample(i, "h", i, i) for i in range(10, 15)], source)
+    monkeypatch.setattr(SL, "store_batch", dies)
+    with pytest.raises(Exception, match="sink gone"):
+        run()
+    assert stored(spark, sinks["all"][1], schema).count() == 15
+    assert counts() == [10, 3]
+    monkeypatch.setattr(SL, "store_batch", real)
+    run()
+    assert counts() == [15, 8]
+    # Committed, but not in the stream's own log: the batch runs again and changes nothing.
+    (tmp_path / "checkpoint" / "commits" / "1").unlink()
+    (tmp_path / "checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
+    monkeypatch.setattr(SL, "store_batch", dies)
+    run()
+    assert counts() == [15, 8]
 
 
 def test_a_stream_that_dies_after_writing_goes_on_without_doubles(spark, tmp_path, monkeypatch):
