@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labspark.llm.common import stored, text_of
@@ -51,15 +51,37 @@ def matches(text: Column, pattern: str) -> Column:
     marked = F.regexp_replace(F.translate(text, MARK, STAND_IN), pattern, f"{MARK}$0{MARK}")
     parts = F.split(marked, MARK)
     empty = F.array().cast("array<struct<start: bigint, end: bigint, match: string>>")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
 
-    def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part)
-        entry = F.struct(state["at"].alias("start"), end.alias("end"), part.alias("match"))
-        found = F.when(state["inside"], F.concat(state["found"], F.array(entry))).otherwise(state["found"])
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), found.alias("found"))
+    def placed(parts: Column) -> Column:
+        # Adding to an array copies it, so the parts are placed in runs of about as many as there are runs.
+        length = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        length = length + length % 2
+        begins = F.sequence(F.lit(1), F.size(parts), length)
+        runs = F.transform(begins, lambda i: F.slice(parts, i, length))
+        sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda n, part: n + F.length(part)))
+        none = F.array().cast("array<bigint>")
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("starts"))
+        starts = F.aggregate(
+            sizes,
+            start,
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
+            lambda s: s["starts"],
+        )
+        return F.flatten(F.zip_with(runs, starts, found_in))
+
+    def found_in(run: Column, start: Column) -> Column:
+        # Every second part is a match; runs begin with a part between matches.
+        begin = F.struct(start.alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
+
+        def step(state: Column, part: Column) -> Column:
+            end = state["at"] + F.length(part)
+            entry = F.struct(state["at"].alias("start"), end.alias("end"), part.alias("match"))
+            found = F.when(state["inside"], F.concat(state["found"], F.array(entry))).otherwise(state["found"])
+            return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), found.alias("found"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, begin, step, lambda s: s["found"])).otherwise(empty)
+        return F.aggregate(run, begin, step, lambda s: s["found"])
+
+    return F.when(F.size(parts) > 1, F.get(F.transform(F.array(parts), placed), F.lit(0))).otherwise(empty)
 
 
 def upper_tail(z: Column) -> Column:
@@ -191,10 +213,33 @@ def secrets(
         return F.transform(column, lambda m: F.struct(m["start"].alias("start"), kind.alias("kind"), m["end"].alias("end")))
 
     base = F.array_sort(F.concat(spans("assign"), spans("access"), spans("hex")))
-    rows = stored(found.select("id", base.alias("base"), "tokens"), "secrets")
+    found = found.select("id", F.monotonically_increasing_id().alias("row"), base.alias("base"), "tokens")
+    rows = stored(found, "secrets")
     limit = cut_off(rows.select(F.explode("tokens.p").alias("p")), rate)
-    free = F.filter(
-        "tokens",
-        lambda t: (t["p"] <= limit) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])),
-    )
-    return rows.withColumn("tokens", free).select("id", "base", F.array_sort(spans("tokens")).alias("added"))
+    rows = rows.withColumn("tokens", F.filter("tokens", lambda t: t["p"] <= limit))
+    both = (F.size("tokens") > 0) & (F.size("base") > 0)
+    alone = rows.where(~both).select("id", "base", F.array_sort(spans("tokens")).alias("added"))
+    mixed = rows.where(both)
+    free = apart(mixed).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("tokens"))
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    kept = mixed.select("id", "row", "base").join(free, "row", "left").withColumn("tokens", F.coalesce("tokens", none))
+    return alone.unionByName(kept.select("id", "base", F.array_sort(spans("tokens")).alias("added")))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """``row``, ``start`` and ``end`` of the tokens that overlap no base span of their row.
+
+    In order of their starts, a base span that overlaps a token either reaches past its start from before, or is the next one
+    and starts before its end: tokens don't overlap each other, so behind another token no base span can.
+    """
+
+    def marked(column: str, is_base: int) -> Column:
+        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(is_base).alias("is_base")))
+
+    spans = rows.select("row", F.inline(F.concat(marked("base", 1), marked("tokens", 0))))
+    along = Window.partitionBy("row").orderBy("start", F.desc("is_base"), "end")
+    reach = F.max(F.when(F.col("is_base") == 1, F.col("end"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    follows = F.when(F.lead("is_base").over(along) == 1, F.lead("start").over(along))
+    looked = spans.select("row", "start", "end", "is_base", reach.alias("reach"), follows.alias("follows"))
+    clear = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("follows") >= F.col("end"), F.lit(True))
+    return looked.where((F.col("is_base") == 0) & clear).select("row", "start", "end")
