@@ -61,15 +61,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer one, that no column of the tables has, in any case."""
+    taken = {column.lower() for table in tables for column in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is in ``kept``, one row for each key, or as many as its third column says.
+    """The rows of ``docs`` whose ``key`` is in ``kept``, one row for each key.
 
-    ``kept`` has one row per key: the key, how many rows of ``docs`` have it and, if wanted, how often to give it. Rows of
-    a repeated key go through a distinct on the key; all others only through the join.
+    ``kept`` has one row per key: the key and how many rows of ``docs`` have it. Rows of a repeated key go through a distinct
+    on the key; all others only through the join.
     """
-    marks = kept.toDF("_key", "_copies", *["_times"] * (len(kept.columns) > 2))
-    joined = docs.join(marks, F.col(key).eqNullSafe(F.col("_key")), "inner")
-    once = joined.where(F.col("_copies") == 1).unionByName(joined.where(F.col("_copies") > 1).dropDuplicates(["_key"]))
-    if "_times" in marks.columns:
-        once = once.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+    of, copies = (unused(name, docs) for name in ("_key", "_copies"))
+    joined = docs.join(kept.toDF(of, copies), F.col(key).eqNullSafe(F.col(of)), "inner")
+    once = joined.where(F.col(copies) == 1).unionByName(joined.where(F.col(copies) > 1).dropDuplicates([of]))
     return once.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm.common import keep_rows, stored, text_of
+from labspark.llm.common import keep_rows, stored, text_of, unused
 
 #: Runs that meet in one merge: 2 ** FAN_BITS.
 FAN_BITS = 3
@@ -86,7 +86,8 @@ def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # Rows that share an identifier with a kept one, but not its text, must not come back with it.
     same = F.struct(F.col("id"), F.col("digest"))
     kept = classes.groupBy(same.alias("key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    own = unused("_class", docs)
     marked = docs.withColumn(
-        "_class", F.struct(F.col(id_column).alias("id"), F.unhex(F.sha2(text_of(text_column), 256)).alias("digest"))
+        own, F.struct(F.col(id_column).alias("id"), F.unhex(F.sha2(text_of(text_column), 256)).alias("digest"))
     )
-    return keep_rows(marked, kept.where("kept").select("key", "copies"), "_class").drop("_class")
+    return keep_rows(marked, kept.where("kept").select("key", "copies"), own).drop(own)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labspark.llm.common import keep_rows, stored, text_of
+from labspark.llm.common import stored, text_of, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -130,10 +130,9 @@ def placed(sizes: DataFrame, sources: list[tuple]) -> DataFrame:
 
 
 def segments(streams: DataFrame, block_words: int, max_repeats: int) -> DataFrame:
-    """The part of each document in each block of each pass: ``row``, ``number``, ``rank``, ``first``, ``words``, ``middle``.
+    """The part of each document in each block of each pass: ``row``, ``number``, ``rank``, ``pass``, ``place``, ``first``, ``words``.
 
-    ``first`` is the document's word that the part begins with; ``middle`` says that the part holds its middle word, or,
-    of an empty document, its place.
+    ``place`` is where it begins in the source's stream, over all passes; ``first`` is the document's word that the part begins with. A document without words has one part, without words.
     """
     passes = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(max_repeats)])).alias("pass")
     of = streams.select("row", "number", "size", "target", "begin", F.col("words").alias("stream"), passes)
@@ -147,10 +146,8 @@ def segments(streams: DataFrame, block_words: int, max_repeats: int) -> DataFram
     cut = of.withColumn("rank", F.explode(F.sequence(block(F.col("at")), block(F.greatest(F.col("end") - 1, F.col("at"))))))
     low = F.greatest(F.col("at"), F.col("rank") * block_words)
     high = F.least(F.col("end"), (F.col("rank") + 1) * block_words)
-    middle = F.col("at") + F.floor(F.col("size") / 2).cast("bigint")
-    held = (middle >= low) & ((middle < high) | ((F.col("size") == 0) & (middle == high)))
     return cut.select(
-        "row", "number", "rank", "pass", (low - F.col("at")).alias("first"), (high - low).alias("words"), held.alias("middle")
+        "row", "number", "rank", "pass", low.alias("place"), (low - F.col("at")).alias("first"), (high - low).alias("words")
     )
 
 
@@ -163,7 +160,7 @@ def mix(
     max_repeats: int = MAX_REPEATS,
     block_words: int = BLOCK_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """The documents with their places, and the mix: ``slot``, ``number``, ``row``, ``pass``, ``first``, ``words``, ``middle``.
+    """The documents with their places, and the mix: ``slot``, ``number``, ``row``, ``pass``, ``first``, ``words``.
 
     Reading the mix by slot gives the words of the mix in order. The words taken from a source are its target, rounded; none
     is taken more than ``max_repeats`` times. A null source is a source, the last; a null or empty text has no words and
@@ -178,25 +175,50 @@ def mix(
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
-    """For each document: ``id``, ``size``, ``source_size``, ``target`` of its source and ``taken``, its words in the mix."""
+    """For each document: ``id``, ``size``, ``source_size``, ``target`` of its source, ``taken``, its words in the mix, and
+    ``first_slot``, the slot that has its first part, null if the mix has none."""
     streams, mixed = mix(docs, **options)
-    taken = mixed.groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = mixed.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return streams.join(taken, "row", "left").select(
-        "id", "size", F.col("words").alias("source_size"), "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken")
+        "id",
+        "size",
+        F.col("words").alias("source_size"),
+        "target",
+        F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"),
+        "first_slot",
     )
 
 
 def mixed_documents(
     docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", **options
 ) -> DataFrame:
-    """Whole documents of the mix, with the columns of ``docs``: a document stands there once for each pass in which the
-    mix takes its middle word."""
+    """The mix as documents, with the columns of ``docs``, in the order of their first slots.
+
+    A document stands there once for each pass that takes of it. The last one of a source is cut where the source's target
+    ends, behind a word, and has its text up to there; so each source has the words of its target, and none vanishes. A
+    document without words stands there if its place is before the target.
+    """
     streams, mixed = mix(docs, id_column, source_column, text_column, **options)
-    times = mixed.where("middle").groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    key = F.struct("id", "source", "text_hash")
-    rows = streams.join(times, "row", "left").groupBy(key.alias("key"))
-    kept = rows.agg(F.count(F.lit(1)).alias("copies"), F.sum("times").cast("int").alias("times")).where("times > 0")
-    own = F.struct(
-        F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.xxhash64(text_of(text_column)).alias("text_hash")
+    key = F.struct("id", "source", "text_hash").alias("key")
+    known = streams.select("row", "size", key)
+    taken = mixed.groupBy("row", "pass").agg(F.min(F.struct("slot", "place")).alias("at"), F.sum("words").alias("words"))
+    parts = taken.join(known, "row").where((F.col("words") > 0) | (F.col("size") == 0))
+    parts = parts.select("row", "key", F.struct("at", F.when(F.col("words") < F.col("size"), F.col("words")).alias("cut")).alias("part"))
+    copies = known.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    # One row for each document that is there once, with its parts, one for each pass at most; for repeated rows one for each part.
+    once = parts.groupBy("row", "key").agg(F.collect_list("part").alias("parts")).join(copies.where("copies = 1"), "key")
+    again = stored(parts.join(copies.where("copies > 1"), "key").select("key", "part"), "repeated-parts")
+    own, of, part = (unused(name, docs) for name in ("_own", "_of", "_part"))
+    marked = docs.withColumn(
+        own,
+        F.struct(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.xxhash64(text_of(text_column)).alias("text_hash")),
     )
-    return keep_rows(docs.withColumn("_mix", own), kept, "_mix").drop("_mix")
+    same = F.col(own).eqNullSafe(F.col(of))
+    single = marked.join(once.select(F.col("key").alias(of), F.col("parts").alias(part)), same).withColumn(part, F.explode(part))
+    several = marked.join(again.select(F.col("key").alias(of)).distinct(), same, "left_semi").dropDuplicates([own])
+    several = several.join(again.select(F.col("key").alias(of), F.col("part").alias(part)), same)
+    cut = F.col(part)["cut"]
+    pieces = F.regexp_extract_all(F.col(text_column), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    text = F.when(cut.isNull(), F.col(text_column)).otherwise(F.array_join(F.slice(pieces, F.lit(1), cut.cast("int")), ""))
+    rows = single.unionByName(several).withColumn(text_column, text.cast(docs.schema[text_column].dataType))
+    return rows.orderBy(F.col(part)["at"]).select(*docs.columns)

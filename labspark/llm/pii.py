@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm.common import stored
+from labspark.llm.common import stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: The least probability of a span that is added.
@@ -274,6 +274,7 @@ def redacted(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_
             at = max(at, end)
         return "".join(out) + text[at:]
 
-    spans = found.select(F.col("id").alias("_id"), F.concat("base", "added").alias("_spans"))
-    joined = docs.join(spans, F.col(id_column).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_column, replace(F.col(text_column), F.col("_spans"))).select(*docs.columns)
+    of, own = unused("_id", docs), unused("_spans", docs)
+    spans = found.select(F.col("id").alias(of), F.concat("base", "added").alias(own))
+    joined = docs.join(spans, F.col(id_column).eqNullSafe(F.col(of)), "left")
+    return joined.withColumn(text_column, replace(F.col(text_column), F.col(own))).select(*docs.columns)

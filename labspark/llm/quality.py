@@ -15,14 +15,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labspark.llm.common import stored, unused
+
 BUCKET_BITS = 16
 DIMENSIONS = 16
 CHARACTERS = (3, 4)
 #: Labelled rows of each class to train on, at most: those with the smallest hash of their identifier.
 SAMPLE_ROWS = 1500
+#: Features of those documents that reach the driver, 8 bytes each; half of them of each class.
+SAMPLE_ENTRIES = 16_000_000
 EPOCHS = 8
 RATE = 0.5
 THRESHOLD = 0.7
@@ -157,21 +161,25 @@ def fit(
     text_column: str = "text",
     label_column: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
+    sample_entries: int = SAMPLE_ENTRIES,
 ) -> Model:
     """A model from the labels 0 and 1 of documents; other labels, null ones included, count for nothing.
 
-    At most ``sample_rows`` labelled rows of each class are read, whole texts; a label weighs as much as all rows of its
-    class. Without labels the model says 0.5 for every text.
+    At most ``sample_rows`` labelled documents of each class are read, whole texts, and of these the driver gets as many as
+    have half of ``sample_entries`` features together, 8 bytes each; a label weighs as much as all rows of its class. Of rows
+    that share an identifier one is read. Without labels, or without documents that have one, as with empty tables, the model
+    says 0.5 for every text. Texts may have any length: one has 65,536 features at most.
     """
-    known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label"))
-    known = known.where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
-    totals = dict(known.groupBy("_label").count().collect())
-    order = F.xxhash64("_id", F.lit("sample"))
-    of_class = [known.where(F.col("_label") == c).orderBy(order, "_id").limit(sample_rows) for c in (0, 1)]
+    known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
+    known = known.where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    totals = dict(known.groupBy("label").count().collect())
+    order = F.xxhash64("id", F.lit("sample"))
+    of_class = [known.where(F.col("label") == c).orderBy(order, "id").limit(sample_rows) for c in (0, 1)]
     chosen = of_class[0].unionByName(of_class[1])
-    texts = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(
-        "_id", "_label", F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
-    )
+    narrow = docs.select(F.col(id_column).alias("doc"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    met = narrow.join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    # Of documents that share an identifier, or a label that is given twice, one counts.
+    texts = met.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +188,19 @@ def fit(
                 found = bags(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": some.column("_id").cast(pa.string()),
-                        "label": some.column("_label"),
+                        "id": some.column("id").cast(pa.string()),
+                        "label": some.column("label"),
                         "buckets": pa.array([b for b, _ in found], pa.list_(pa.int32())),
                         "shares": pa.array([s for _, s in found], pa.list_(pa.float32())),
                     }
                 )
 
-    rows = texts.mapInArrow(bag, "id string, label int, buckets array<int>, shares array<float>").toArrow()
+    bagged = stored(texts.mapInArrow(bag, "id string, label int, buckets array<int>, shares array<float>"), "bags")
+    # What the driver gets is limited in bytes too, whatever the texts' lengths: rows in the order of the sample while they fit.
+    sizes = bagged.select("id", "label", F.size("buckets").cast("bigint").alias("n"))
+    along = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit("sample")), "id")
+    fitting = sizes.withColumn("sum", F.sum("n").over(along)).where(F.col("sum") <= sample_entries // 2).select("id", "label")
+    rows = bagged.join(F.broadcast(fitting), ["id", "label"]).toArrow()
     bags_of = [
         (b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(rows.column("buckets"), rows.column("shares"))
     ]
@@ -203,7 +216,7 @@ def fit(
 
 
 def held_out(id_column: str) -> Column:
-    """Whether a document is kept from training: the checksum of its identifier leaves 2 when divided by 4."""
+    """Whether a document is kept from training: the checksum of its identifier leaves 2 when divided by 4. Null never is."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
@@ -222,4 +235,5 @@ def drop_low_quality(
     docs: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns. Repeated rows are judged alike."""
-    return docs.withColumn("_score", score(model, text_column)).where(F.col("_score") >= threshold).drop("_score")
+    name = unused("_score", docs)
+    return docs.withColumn(name, score(model, text_column)).where(F.col(name) >= threshold).drop(name)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm.common import keep_rows, stored, text_of
+from labspark.llm.common import keep_rows, stored, text_of, unused
 from labspark.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -212,4 +212,5 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
         F.min_by(F.struct(chosen.alias("key"), "copies"), "text_hash").alias("best")
     )
     own = F.struct(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text_of(text_column)).alias("text_hash"))
-    return keep_rows(docs.withColumn("_near", own), one.select("best.key", "best.copies"), "_near").drop("_near")
+    name = unused("_near", docs)
+    return keep_rows(docs.withColumn(name, own), one.select("best.key", "best.copies"), name).drop(name)
