@@ -215,10 +215,17 @@ def mixed_documents(
     )
     same = F.col(own).eqNullSafe(F.col(of))
     single = marked.join(once.select(F.col("key").alias(of), F.col("parts").alias(part)), same).withColumn(part, F.explode(part))
-    several = marked.join(again.select(F.col("key").alias(of)).distinct(), same, "left_semi").dropDuplicates([own])
-    several = several.join(again.select(F.col("key").alias(of), F.col("part").alias(part)), same)
+    rows = single if again.isEmpty() else single.unionByName(repeated(marked, again, own, of, part))
     cut = F.col(part)["cut"]
     pieces = F.regexp_extract_all(F.col(text_column), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     text = F.when(cut.isNull(), F.col(text_column)).otherwise(F.array_join(F.slice(pieces, F.lit(1), cut.cast("int")), ""))
-    rows = single.unionByName(several).withColumn(text_column, text.cast(docs.schema[text_column].dataType))
+    rows = rows.withColumn(text_column, text.cast(docs.schema[text_column].dataType))
     return rows.orderBy(F.col(part)["at"]).select(*docs.columns)
+
+
+def repeated(marked: DataFrame, parts: DataFrame, own: str, of: str, part: str) -> DataFrame:
+    """One row of each ``key`` of ``parts`` for each of its parts; the rows of a key are alike."""
+    named = parts.select(F.col("key").alias(of), F.col("part").alias(part))
+    same = F.col(own).eqNullSafe(F.col(of))
+    one = marked.join(named.select(of).distinct(), same, "left_semi").dropDuplicates([own])
+    return one.join(named, same)

@@ -212,7 +212,11 @@ def fit(
     all_rows = sum(totals.values())
     share = {c: totals.get(c, 0) / all_rows / max(1, (found == c).sum()) * len(found) for c in (0, 1)} if all_rows else {}
     weights = np.array([share[c] for c in found.tolist()], np.float32)
-    return train([bags_of[i] for i in place], found, weights)
+    model = train([bags_of[i] for i in place], found, weights)
+    # The features are not needed any more; Arrow gives their memory back only when asked to.
+    del rows, bags_of
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def held_out(id_column: str) -> Column:
