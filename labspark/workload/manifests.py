@@ -91,13 +91,14 @@ def path_include_exclude(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "file_manifest",
-    """SELECT 'lang=' || lang AS folder, sum(octet_length(encode(text)) + 1)::bigint AS n_bytes FROM documents
-       WHERE lang IS NOT NULL GROUP BY 1""",
+    """SELECT 'lang=' || coalesce(lang, 'none') AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint AS n_bytes
+       FROM documents GROUP BY 1""",
 )
 def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents stored as plain text by language; the listing gives the bytes of each folder."""
+    """Documents stored as plain text by language, those of no language too; the listing gives the bytes of each folder."""
     folder = scratch_path(spark, "texts")
-    texts = table(spark, sf, "documents").where(F.col("lang").isNotNull()).select("lang", "text")
+    none = [F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")]
+    texts = table(spark, sf, "documents").select(*none)
     texts.hint("rebalance", "lang").write.partitionBy("lang").text(folder)
     listed = files.manifest(spark, folder, "part-*")
     top = F.substring_index("relative_path", "/", 1).alias("folder")
@@ -266,14 +267,18 @@ def pod_ready_floor(spark: SparkSession, sf: str) -> DataFrame:
     "backup_all_targets",
     """SELECT count(*) AS checked, count(*) FILTER (hash IS NOT NULL AND hash IS DISTINCT FROM old) AS uploaded,
               count(*) FILTER (hash = old) AS skipped
-       FROM (SELECT item_id, sha256(d.text) AS hash,
-                    CASE WHEN item_id % 3 = 0 THEN sha256(d.text) END AS old
-             FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id * 7)""",
+       FROM (SELECT sha256(text) AS hash, CASE doc_id % 3 WHEN 0 THEN sha256(text) WHEN 1 THEN sha256(text || '.') END AS old
+             FROM documents
+             UNION ALL SELECT NULL, NULL FROM benchmark)""",
 )
 def backup_all_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets are fixed beforehand; those without a document count as checked too."""
-    targets = table(spark, sf, "benchmark").select(F.col("item_id").alias("target"))
-    documents = table(spark, sf, "documents").where(F.col("doc_id") % 7 == 0)
-    current = documents.select((F.col("doc_id") / 7).cast("bigint").alias("target"), M.content_hash(F.col("text")).alias("hash"))
-    known = current.where(F.col("target") % 3 == 0)
+    """Every document is a target, and so is every benchmark item, which no document belongs to: it counts as checked too.
+
+    Of three documents one is stored as it is, one was stored with another text and one is new."""
+    documents = table(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("target"), "doc_id", "text")
+    items = table(spark, sf, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("target"))
+    targets = documents.select("target").unionByName(items)
+    current = documents.select("target", M.content_hash(F.col("text")).alias("hash"))
+    changed = F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    known = documents.where(F.col("doc_id") % 3 < 2).select("target", M.content_hash(changed).alias("hash"))
     return M.backup_summary(M.changed_since(M.all_targets(current, targets), known))
