@@ -12,7 +12,7 @@ from labspark.functions.text import event_message
 from labspark.operators import logs as L
 from labspark.operators.metrics import relative_range
 from labspark.session import scratch_path
-from labspark.sources import files, tables
+from labspark.sources import files, skipping, tables
 from labspark.workload.registry import query, table
 
 BODY = T.StructType([T.StructField("k", T.IntegerType())])
@@ -242,3 +242,20 @@ def step_log_tail(spark: SparkSession, sf: str) -> DataFrame:
 @query("step_log_scan", f"SELECT step_id, log, line FROM {STEP_LINES}")
 def step_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     return step_logs(spark, sf).select("step_id", "log", "line")
+
+
+@query(
+    "log_search_skipping",
+    r"""SELECT doc_id, source, lang, n_chars FROM documents
+        WHERE lang = 'en' AND n_chars BETWEEN 200 AND 20000
+          AND regexp_matches(text, '(^|[^A-Za-z0-9_])(?i:license)([^A-Za-z0-9_]|$)')
+          AND regexp_matches(text, '(^|[^A-Za-z0-9_])(?i:under)([^A-Za-z0-9_]|$)')""",
+)
+def log_search_skipping(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents stored by source with a skipping index, searched for two words in texts of one language and range of lengths."""
+    store, index = scratch_path(spark, "texts"), scratch_path(spark, "texts-index")
+    documents = table(spark, sf, "documents")
+    documents.hint("rebalance", "source").write.partitionBy("source").parquet(store)
+    skipping.index_files(spark, store, index, "text", ["lang"], ["n_chars"])
+    wanted = {"has": ["license", "under"], "equal": {"lang": "en"}, "between": {"n_chars": (200, 20000)}}
+    return skipping.search_store(spark, store, index, "text", **wanted).select("doc_id", "source", "lang", "n_chars")
