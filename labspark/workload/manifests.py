@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labspark.functions.status import job_status_by_activity as status_by_activity
 from labspark.functions.text import contains, wanted_file
 from labspark.operators import catalogue as C
+from labspark.operators import hashtree as H
 from labspark.operators import jobs as J
 from labspark.operators import manifest as M
 from labspark.operators.metrics import newest
@@ -282,3 +283,25 @@ def backup_all_targets(spark: SparkSession, sf: str) -> DataFrame:
     changed = F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
     known = documents.where(F.col("doc_id") % 3 < 2).select("target", M.content_hash(changed).alias("hash"))
     return M.backup_summary(M.changed_since(M.all_targets(current, targets), known))
+
+
+@query(
+    "tree_diff",
+    """SELECT source AS directory, 'doc/' || doc_id AS path,
+              CASE WHEN doc_id % 31 = 7 THEN 'added' WHEN doc_id % 37 = 5 THEN 'removed' ELSE 'changed' END AS change,
+              CASE WHEN doc_id % 31 <> 7 THEN sha256(text) END AS old_hash,
+              CASE WHEN doc_id % 31 = 7 THEN sha256(text) WHEN doc_id % 37 <> 5 THEN sha256(text || 'x') END AS new_hash
+       FROM documents WHERE doc_id % 31 = 7 OR doc_id % 37 = 5 OR doc_id % 29 = 3 AND text IS NOT NULL""",
+)
+def tree_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Two states of all documents, by source, as stored trees: some documents added, some gone, some altered between them."""
+    key = F.col("doc_id")
+    documents = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit("doc/"), "doc_id").alias("path"), "text")
+    added, gone = key % 31 == 7, (key % 37 == 5) & (key % 31 != 7)
+    altered = F.when((key % 29 == 3) & ~added, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    old, new = scratch_path(spark, "old-tree"), scratch_path(spark, "new-tree")
+    before = documents.where(~added).withColumn("hash", M.content_hash(F.col("text")))
+    after = documents.where(~gone).withColumn("hash", M.content_hash(altered))
+    H.write_tree(before, old, "source", "path")
+    H.write_tree(after, new, "source", "path")
+    return H.tree_diff(spark, old, new)
