@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labspark.plans.hotgroups import settled
-from labspark.sources.commits import commit, delete, file_system, latest, names, publish
+from labspark.sources.commits import commit, delete, latest, names, publish
 from labspark.sources.files import plain_path
 
 # Fixed value: the bits of one bitmap that Spark's bitmap functions make.
@@ -148,8 +148,8 @@ def index_files(
         .agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
         .withColumn("high", F.col("low").bitwiseOR(F.expr(f"shiftright({TOP}L, level)")))
     )
-    ordered = bits.repartitionByRange("level", "low").sortWithinPartitions("level", "low")
-    # Small row groups, so that a lookup skips most of them by their ranges.
+    ordered = bits.repartitionByRange("level", "low", "file").sortWithinPartitions("level", "low")
+    # Small files share the widest ranges, so the file deals them out too. Small row groups, so that a lookup skips most of them by their ranges.
     ordered.write.option("parquet.block.size", 4 << 20).parquet(f"{index}/{run}/bits")
     _publish(spark, index, run, columns)
     return len(paths)
@@ -247,7 +247,7 @@ def compact_index(spark: SparkSession, store: str, index: str) -> int:
     kept = _rows(spark, index, state["runs"], "files").join(present, "file", "left_semi").dropDuplicates(["file"])
     kept.write.parquet(f"{index}/{run}/files")
     bits = _rows(spark, index, state["runs"], "bits").join(present, "file", "left_semi").dropDuplicates(["file", "level", "low"])
-    ordered = bits.repartitionByRange("level", "low").sortWithinPartitions("level", "low")
+    ordered = bits.repartitionByRange("level", "low", "file").sortWithinPartitions("level", "low")
     ordered.write.option("parquet.block.size", 4 << 20).parquet(f"{index}/{run}/bits")
     _publish(spark, index, run, {name: state[name] for name in ("text", "exact", "zones")}, state["runs"])
     _, now = _state(spark, index)
@@ -256,9 +256,3 @@ def compact_index(spark: SparkSession, store: str, index: str) -> int:
         if old.startswith("run=") and old not in now["runs"] and old not in before["runs"]:
             delete(spark, f"{index}/{old}")
     return spark.read.parquet(f"{index}/{run}/files").count()
-
-
-def size_of(spark: SparkSession, path: str) -> int:
-    """The bytes below a folder."""
-    at, store = file_system(spark, path)
-    return store.getContentSummary(at).getLength()
