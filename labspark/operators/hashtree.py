@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.plans.hotgroups import settled
+from labspark.plans.hotgroups import sized
 
 DIGITS = 3
 PART_DIGITS = 1
@@ -121,7 +121,7 @@ def tree_diff(spark: SparkSession, old: str, new: str, digits: int = DIGITS) ->
     A path occurs once in a directory. The prefixes of unequal leaves reach the driver, at most 16 to the power of ``digits``
     whatever the number of directories and files, and prune the scan of the files; a join then keeps the unequal leaves.
     """
-    unequal = settled(changed_leaves(spark, old, new, digits))
+    unequal = sized(changed_leaves(spark, old, new, digits))
     prefixes = sorted(row[0] for row in unequal.select("prefix").distinct().collect())
     named = unequal.select(F.col("directory").alias("_directory"), F.col("prefix").alias("_leaf"))
     sides = {side: read_files(spark, folder, prefixes) for side, folder in (("old", old), ("new", new))}
