@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.functions.labels import merge_labels
 from labspark.operators import metrics as M
+from labspark.session import scratch_path
+from labspark.sources import rollups
 from labspark.workload.registry import query, table
 
 DAY = timedelta(days=1)
@@ -150,6 +152,57 @@ def load_pivot(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+HOUR = timedelta(hours=1)
+
+
+def rolled_up(spark: SparkSession, sf: str) -> str:
+    """A store of hourly and daily partials, filled by three arrivals whose times overlap and folded after the second."""
+    path = scratch_path(spark, "rollup")
+    rows = samples(spark, sf)
+    for batch in range(3):
+        arrival = rows.where(F.pmod("sample_id", F.lit(3)) == batch)
+        rollups.add_samples(arrival, path, batch, SERIES, [HOUR, DAY], tie="sample_id")
+        if batch == 1:
+            rollups.fold(spark, path, SERIES)
+    return path
+
+
+@query(
+    "rollup_mean_max",
+    f"""SELECT metric, host, round(avg(value), 9) AS mean, max(value) AS "max" FROM ({SAMPLES}) GROUP BY 1, 2""",
+)
+def rollup_mean_max(spark: SparkSession, sf: str) -> DataFrame:
+    daily = rollups.read_rollup(spark, rolled_up(spark, sf), DAY, SERIES)
+    return rollups.mean_max(daily, SERIES).select("metric", "host", F.round("mean", 9).alias("mean"), "max")
+
+
+RANGE = (datetime(2024, 1, 3, 5), datetime(2024, 1, 20, 17))
+
+
+@query(
+    "rollup_range",
+    f"""SELECT metric, host, round(avg(value), 9) AS mean, max(value) AS "max" FROM ({SAMPLES})
+        WHERE ts >= TIMESTAMP '{RANGE[0]}' AND ts < TIMESTAMP '{RANGE[1]}' GROUP BY 1, 2""",
+)
+def rollup_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole days from the daily steps, the hours at both ends from the hourly ones."""
+    mixed = rollups.read_range(spark, rolled_up(spark, sf), *RANGE)
+    return rollups.mean_max(mixed, SERIES).select("metric", "host", F.round("mean", 9).alias("mean"), "max")
+
+
+@query(
+    "rollup_load_pivot",
+    f"""SELECT host, date_trunc('day', ts)::timestamp AS step,
+               arg_max(value, (ts, sample_id)) FILTER (metric = 'click') AS load_1m,
+               arg_max(value, (ts, sample_id)) FILTER (metric = 'view') AS load_5m,
+               arg_max(value, (ts, sample_id)) FILTER (metric = 'signup') AS load_15m
+        FROM ({SAMPLES}) WHERE metric IN ('click', 'view', 'signup') GROUP BY 1, 2""",
+)
+def rollup_load_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    daily = rollups.read_rollup(spark, rolled_up(spark, sf), DAY, SERIES)
+    return rollups.last_values(daily, ["host", "step"], {"click": "load_1m", "view": "load_5m", "signup": "load_15m"})
+
+
 @query(
     "label_merge",
     """SELECT event_id AS sample_id, u.label, u.value FROM (
