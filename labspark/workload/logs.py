@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labspark.functions.text import event_message
+from labspark.operators import attributes as A
 from labspark.operators import logs as L
 from labspark.operators.metrics import relative_range
 from labspark.session import scratch_path
@@ -46,6 +47,63 @@ def log_json_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("event_id", "body", "malformed", "parsed.k")
 
 
+def attribute_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as log bodies. A document's source is one of its keys; the bodies of every seventh lack their last brace."""
+    docs = table(spark, sf, "documents")
+    doc = F.to_json(F.struct("lang", "text"), {"ignoreNullFields": "false"})
+    own = F.concat(
+        F.lit(',"'), F.coalesce("source", F.lit("none")), F.lit('":'), F.coalesce(F.col("n_chars").cast("string"), F.lit("null"))
+    )
+    tags = F.concat(F.lit(',"tags":["'), F.coalesce("lang", F.lit("none")), F.lit('",'), F.col("doc_id").cast("string"), F.lit("]"))
+    whole = F.concat(F.lit('{"doc":'), doc, own, tags)
+    return docs.select("doc_id", F.concat(whole, F.when(F.col("doc_id") % 7 == 0, "").otherwise("}")).alias("body"))
+
+
+ATTRIBUTES = """(SELECT *, doc_id % 7 = 0 AS cut, '{"doc":' || json_object('lang', lang, 'text', text) || ',"' || coalesce(source, 'none')
+    || '":' || coalesce(n_chars::varchar, 'null') || ',"tags":["' || coalesce(lang, 'none') || '",' || doc_id || ']'
+    || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '}' END AS body FROM documents)"""
+
+KIND = """CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array'
+    WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"""
+
+
+@query(
+    "log_attributes",
+    f"""SELECT doc_id, false AS malformed, key, {KIND} AS kind,
+               CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(v, '$') END AS value
+        FROM (SELECT doc_id, key, json_extract(body, '$."' || key || '"') AS v
+              FROM (SELECT *, unnest(json_keys(body)) AS key FROM {ATTRIBUTES} WHERE json_valid(body)))
+        UNION ALL SELECT doc_id, true, NULL, NULL, NULL FROM {ATTRIBUTES} WHERE NOT json_valid(body)""",
+)
+def log_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    return A.listed(A.parse(attribute_records(spark, sf)), ["doc_id", "malformed"])
+
+
+@query(
+    "log_attribute_search",
+    f"""SELECT doc_id, json_extract_string(body, '$.tags[0]') AS tag, length(json_extract_string(body, '$.doc.text'))::bigint AS n_text
+        FROM {ATTRIBUTES} WHERE CASE WHEN json_valid(body) THEN json_extract_string(body, '$.doc.lang') = 'en'
+          AND json_extract_string(body, '$.src3')::bigint > 500 END""",
+)
+def log_attribute_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search in stored variants: conditions on keys and the fields returned reach the scan."""
+    path = scratch_path(spark, "attributes")
+    A.parse(attribute_records(spark, sf)).drop("body").write.parquet(path)
+    found = A.search(spark.read.parquet(path), [(["doc", "lang"], "=", "en"), (["src3"], ">", 500)])
+    text = A.attribute("attributes", ["doc", "text"])
+    return found.select("doc_id", A.attribute("attributes", ["tags", 0]).alias("tag"), F.length(text).cast("bigint").alias("n_text"))
+
+
+@query(
+    "log_attribute_keys",
+    f"""SELECT key, {KIND} AS kind, count(*) AS n_rows
+        FROM (SELECT key, json_extract(body, '$."' || key || '"') AS v
+              FROM (SELECT *, unnest(json_keys(body)) AS key FROM {ATTRIBUTES} WHERE json_valid(body))) GROUP BY 1, 2""",
+)
+def log_attribute_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return A.key_profile(A.parse(attribute_records(spark, sf)))
+
+
 @query("log_enrich", f"SELECT event_id, database, component, host_name, body FROM {RECORDS}")
 def log_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return log_records(spark, sf).select("event_id", "database", "component", "host_name", "body")
