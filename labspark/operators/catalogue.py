@@ -40,8 +40,10 @@ def overlay(base: DataFrame, patch: DataFrame, keys: Sequence[str], value: str =
     return joined.select(*keys, F.when(F.col("_patched"), F.col("_patch")).otherwise(F.col(value)).alias(value))
 
 
-def overlay_paths(base: DataFrame, patch: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
-    """``overlay`` for flattened documents with dotted paths.
+def overlay_paths(
+    base: DataFrame, patch: DataFrame, path: str = "path", value: str = "value", keys: Sequence[str] = ()
+) -> DataFrame:
+    """``overlay`` for flattened documents with dotted paths; ``keys`` tell documents apart when there are several.
 
     A patch value replaces the whole branch below its path, and a patched branch replaces a base value above it.
     """
@@ -50,10 +52,10 @@ def overlay_paths(base: DataFrame, patch: DataFrame, path: str = "path", value:
     def above(df: DataFrame) -> DataFrame:
         ups = F.when(depth > 1, F.sequence(F.lit(1), depth - 1)).otherwise(F.array().cast("array<int>"))
         upper = F.explode(F.transform(ups, lambda n: F.array_join(F.slice(F.split(path, "\\."), 1, n), ".")))
-        return df.select(F.col(path), upper.alias("_above"))
+        return df.select(*keys, F.col(path), upper.alias("_above"))
 
-    patched = patch.select(F.col(path).alias("_above"))
-    covered = above(base).join(patched, "_above", "left_semi").select(path)
-    opened = above(patch).select(F.col("_above").alias(path))
+    patched = patch.select(*keys, F.col(path).alias("_above"))
+    covered = above(base).join(patched, [*keys, "_above"], "left_semi").select(*keys, path)
+    opened = above(patch).select(*keys, F.col("_above").alias(path))
     replaced = covered.unionByName(opened).distinct()
-    return overlay(base.join(replaced, path, "left_anti"), patch, [path], value)
+    return overlay(base.join(replaced, [*keys, path], "left_anti"), patch, [*keys, path], value)

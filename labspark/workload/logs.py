@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from labspark.functions.text import event_message
 from labspark.operators import attributes as A
 from labspark.operators import logs as L
+from labspark.operators import paths as P
 from labspark.operators.metrics import relative_range
 from labspark.session import scratch_path
 from labspark.sources import files, skipping, tables
@@ -104,6 +105,37 @@ def log_attribute_keys(spark: SparkSession, sf: str) -> DataFrame:
     return A.key_profile(A.parse(attribute_records(spark, sf)))
 
 
+PATCH = """'{"doc":' || CASE doc_id % 3 WHEN 0 THEN '{"lang":"xx"},"tags":[' || doc_id || ']}'
+    WHEN 1 THEN '{"size":{"chars":' || doc_id || '}},"extra":{"a":{"b":true}}}' ELSE '"gone","tags":{"k":' || doc_id || '}}' END"""
+
+
+@query(
+    "document_merge",
+    f"""SELECT doc_id, json_extract_string(m, '$.doc.lang') AS lang, length(json_extract_string(m, '$.doc.text'))::bigint AS n_text,
+               json_extract_string(m, '$.doc.size.chars') AS chars, json_extract(m, '$.tags')::varchar AS tags,
+               json_extract_string(m, '$.extra.a.b') AS extra, json_type(m, '$.doc') = 'OBJECT' AS nested
+        FROM (SELECT doc_id, CASE WHEN json_valid(body) THEN json_merge_patch(body, patch) ELSE patch::json END AS m
+              FROM (SELECT doc_id, body, {PATCH} AS patch FROM {ATTRIBUTES}))""",
+)
+def document_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """A patch for every document: a scalar and a list replaced, branches added, a branch replaced by a scalar."""
+    base = attribute_records(spark, sf)
+    merged = P.merge_documents(base, base.select("doc_id", F.expr(PATCH).alias("body")), ["doc_id"])
+    got = A.parse(merged).select(
+        "doc_id", "attributes", F.try_variant_get("attributes", "$.doc", "variant").alias("doc"),
+        F.try_variant_get("attributes", "$.tags", "variant").alias("tags"),
+    )
+    return got.select(
+        "doc_id",
+        A.attribute("doc", ["lang"]).alias("lang"),
+        F.length(A.attribute("doc", ["text"])).cast("bigint").alias("n_text"),
+        A.attribute("doc", ["size", "chars"]).alias("chars"),
+        F.to_json("tags").alias("tags"),
+        A.attribute("attributes", ["extra", "a", "b"]).alias("extra"),
+        (A.kind_of(F.col("doc")) == "object").alias("nested"),
+    )
+
+
 @query("log_enrich", f"SELECT event_id, database, component, host_name, body FROM {RECORDS}")
 def log_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return log_records(spark, sf).select("event_id", "database", "component", "host_name", "body")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -128,7 +128,7 @@ def kind(value: object) -> str:
     return "null"
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.dictionaries(st.text("ab.\"é '", min_size=1, max_size=3), values, max_size=4), min_size=20, max_size=40))
 def test_listing_against_json(spark, objects):
     rows = [(i, json.dumps(o)) for i, o in enumerate(objects)]
