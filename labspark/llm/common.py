@@ -73,9 +73,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose ``key`` is in ``kept``, one row for each key.
 
     ``kept`` has one row per key: the key and how many rows of ``docs`` have it. Rows of a repeated key go through a distinct
-    on the key; all others only through the join.
+    on the key; all others only through the join. ``kept`` is stored first, so that what made it is planned and run once.
     """
     of, copies = (unused(name, docs) for name in ("_key", "_copies"))
-    joined = docs.join(kept.toDF(of, copies), F.col(key).eqNullSafe(F.col(of)), "inner")
-    once = joined.where(F.col(copies) == 1).unionByName(joined.where(F.col(copies) > 1).dropDuplicates([of]))
-    return once.select(*docs.columns)
+    chosen = stored(kept.toDF(of, copies), "kept")
+    joined = docs.join(chosen, F.col(key).eqNullSafe(F.col(of)), "inner")
+    several = F.col(copies) > 1
+    if not chosen.where(several).isEmpty():
+        joined = joined.where(F.col(copies) == 1).unionByName(joined.where(several).dropDuplicates([of]))
+    return joined.select(*docs.columns)

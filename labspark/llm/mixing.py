@@ -169,7 +169,8 @@ def mix(
     """
     sizes = sized(docs, id_column, source_column, text_column)
     sources = source_table(sizes, weights, max_repeats)
-    streams = placed(sizes, sources)
+    # Read several times: by the cutting into segments, and by callers for what else they say of a document.
+    streams = stored(placed(sizes, sources), "streams")
     parts = segments(streams, block_words, max_repeats)
     return streams, schedule(docs.sparkSession, sources, block_words).join(parts, ["number", "rank"])
 
@@ -204,10 +205,14 @@ def mixed_documents(
     taken = mixed.groupBy("row", "pass").agg(F.min(F.struct("slot", "place")).alias("at"), F.sum("words").alias("words"))
     parts = taken.join(known, "row").where((F.col("words") > 0) | (F.col("size") == 0))
     parts = parts.select("row", "key", F.struct("at", F.when(F.col("words") < F.col("size"), F.col("words")).alias("cut")).alias("part"))
-    copies = known.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    # One row for each document that is there once, with its parts, one for each pass at most; for repeated rows one for each part.
-    once = parts.groupBy("row", "key").agg(F.collect_list("part").alias("parts")).join(copies.where("copies = 1"), "key")
-    again = stored(parts.join(copies.where("copies > 1"), "key").select("key", "part"), "repeated-parts")
+    # One row for each document with its parts, one for each pass at most. The schedule is planned and run once, for this table.
+    once = stored(parts.groupBy("row", "key").agg(F.collect_list("part").alias("parts")), "parts")
+    copies = stored(known.groupBy("key").count().where("count > 1").select("key"), "copies")
+    again = None
+    if not copies.isEmpty():
+        # Documents that are there several times; for them one row for each part.
+        again = once.join(copies, "key", "left_semi").select("key", F.explode("parts").alias("part"))
+        once = once.join(copies, "key", "left_anti")
     own, of, part = (unused(name, docs) for name in ("_own", "_of", "_part"))
     marked = docs.withColumn(
         own,
@@ -215,7 +220,7 @@ def mixed_documents(
     )
     same = F.col(own).eqNullSafe(F.col(of))
     single = marked.join(once.select(F.col("key").alias(of), F.col("parts").alias(part)), same).withColumn(part, F.explode(part))
-    rows = single if again.isEmpty() else single.unionByName(repeated(marked, again, own, of, part))
+    rows = single if again is None else single.unionByName(repeated(marked, again, own, of, part))
     cut = F.col(part)["cut"]
     pieces = F.regexp_extract_all(F.col(text_column), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     text = F.when(cut.isNull(), F.col(text_column)).otherwise(F.array_join(F.slice(pieces, F.lit(1), cut.cast("int")), ""))

@@ -81,3 +81,12 @@ def test_run_gives_the_last_stage(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
     assert rows.count() > 0
+
+
+@pytest.mark.parametrize("stage, most", [("exact_dedup", 3), ("near_dedup", 3), ("mix", 4)])
+def test_last_plan_of_a_stage_is_small(spark, sf, stage, most):
+    """The driver keeps plans, and what Spark says of each of their tasks: what picks rows is stored before texts are joined."""
+    docs = stored(spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["doc_id"]), "test-docs")
+    rows = dict(corpus_pipeline.STAGES)[stage](spark, docs, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"[-+] (?:Broadcast)?Exchange", plan)) <= most
