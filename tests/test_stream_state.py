@@ -105,6 +105,60 @@ def test_a_batch_costs_what_it_touches_and_idle_series_leave(spark, tmp_path):
     assert stream.found()[3000][2:] == (0.0, 0.0)
 
 
+def test_state_calls_are_shared_by_the_series_of_a_bucket(spark, tmp_path):
+    """Many series with few samples each: the state's rows do not grow with the series."""
+    rows = [sample(2 * i + j, f"h{i}", 100 * j + i % 50, i + j) for i in range(3000) for j in range(2)]
+    stream = Rates(spark, str(tmp_path), timedelta(seconds=1))
+    progress = stream.run(rows)
+    assert 0 < progress[0].numRowsUpdated <= SK.BUCKETS
+    stream.run([sample(-1, None, 9999, None)])
+    close_to(stream.found(), batch(spark, rows))
+
+
+def test_series_of_one_bucket_stay_apart(spark, tmp_path):
+    """Null and large whole numbers and odd texts in keys, sizes far apart, series that leave from between others."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema, keys = "host bigint, rack string, sample_id bigint, ts timestamp_ntz, value double", ["host", "rack"]
+    names = [(None, None), (None, ""), ((1 << 60) + 1, "null"), (1 << 60, 'a"\n,\\b'), (-1, "\u00e9 x")]
+
+    def row(i, name, seconds, value):
+        return (*name, i, START + timedelta(seconds=seconds), value)
+
+    def run(rows):
+        put(spark, rows, source, schema)
+        stream = SM.sample_stream(spark, source, T.StructType.fromDDL(schema))
+        rates = SK.trailing_rates(stream, keys, WINDOW, timedelta(seconds=1), idle=timedelta(seconds=100), buckets=1)
+        SK.run_trailing_rates(rates, out, checkpoint).awaitTermination()
+        states = SK.state_rows(spark, checkpoint, "series").collect()
+        return rates.schema, {(r["key"].get("host"), r["key"].get("rack")): r["value"]["waiting"] for r in states}
+
+    large = 1 << 60
+    first = [row(large + 5 * i + k, name, 3 * i + k, 10.0 ** (15 - 6 * k) * (i % 7 + 1)) for i in range(20) for k, name in enumerate(names)]
+    _, states = run([*first, row(None, (None, None), 60, None)])
+    assert len(states) == 5 and states[None, None] == 0 and states["-1", names[4][1]] == 1
+    second = [row(large + 200 + i, names[3], 70 + i, 1e-3 * i) for i in range(70)]
+    run(second)
+    _, states = run([row(None, (None, None), 165, None)])
+    assert states == {(str(1 << 60), names[3][1]): 0}
+    third = [row(large + 300 + 10 * k + i, names[k], 170 + i, float(i)) for i in range(3) for k in (1, 3)]
+    _, states = run(third)
+    assert states == {(None, ""): 1, (str(1 << 60), names[3][1]): 1}
+    types, _ = run([row(None, (None, None), 250, None)])
+    samples = spark.createDataFrame([*first, *second], schema)
+    want = M.counter_rate(samples, keys, WINDOW, tie="sample_id").collect()
+    found = {r["sample_id"]: r for r in appended(spark, out, types).collect()}
+    assert len(found) == len(first) + len(second) + len(third)
+    for r in want:
+        f = found[r["sample_id"]]
+        assert (f["host"], f["rack"], f["ts"]) == (r["host"], r["rack"], r["ts"])
+        assert (f["increase"], f["rate"]) == pytest.approx((r["increase"], r["rate"]))
+    # One had left before and came back, one went on.
+    assert [[found[large + 300 + 10 * k + i]["rate"] for i in range(3)] for k in (1, 3)] == [
+        pytest.approx([0.0, 1 / 60, 2 / 60]),
+        pytest.approx([29e-3 / 60, 1 / 60 + 28e-3 / 60, 2 / 60 + 27e-3 / 60]),
+    ]
+
+
 EVENTS = "run_id string, seq bigint, event_type string, message string, ts timestamp"
 
 
